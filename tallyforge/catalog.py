@@ -1,0 +1,6 @@
+"""The engine's queries on the driver's tables, and the same in plain SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
