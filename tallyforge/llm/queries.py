@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from . import quality_model
 from .near_dup import near_duplicates
+from .packing import pack
+from .quality_rules import quality_rules
+from .record_files import token_records
 from .shared import table
 
 
@@ -12,5 +18,28 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = {"op3_minhash": op3_minhash}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_minhash": op3_minhash,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_token_records": op5_token_records,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLES: dict[str, str] = {}
