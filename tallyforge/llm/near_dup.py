@@ -6,9 +6,9 @@ by likelihood, then verified on full sets.
 2. Documents of one fingerprint have equal sets; the smallest id stands for them.
 3. Bands of registers put representatives into buckets. Buckets of one are dropped.
 4. First round: each bucket's smallest id against its other members (as many pairs as
-   members). Second round: whatever in a bucket isn't yet linked to the same hub is compared
-   by registers, in blocks of bounded size dealt over the cluster; only pairs whose estimate
-   passes leave a block, so no bucket's pairs are ever emitted.
+   members). Second round: whatever in a bucket isn't yet in the same component is compared
+   by registers and then by sets of 32-bit hashes, in blocks of bounded size dealt over the
+   cluster; only pairs that pass leave a block, so no bucket's pairs are ever emitted.
 5. Pairs are confirmed on full sets of 64-bit shingle hashes.
 6. Connected components by repeated minimum over links and pointer jumps.
 
@@ -33,6 +33,7 @@ from .shared import save
 from .words import U64, chunks, hashes, mix, split
 
 BLOCK = 256
+BROADCAST = 2_000_000
 _STEP = [U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -116,9 +117,10 @@ def _memberships(reps: DataFrame) -> DataFrame:
             ids = batch.column("id").to_numpy()
             for i in range(0, len(ids), 1000):
                 own = keys[i : i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[i : i + 1000], S.BANDS))], ["key", "id"])
+                bands = np.tile(np.arange(S.BANDS, dtype=np.int32), len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[i : i + 1000], S.BANDS)), pa.array(bands)], ["key", "id", "band"])
 
-    return reps.select("id", "registers").mapInArrow(run, "key long, id long")
+    return reps.select("id", "registers").mapInArrow(run, "key long, id long, band int")
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -134,10 +136,11 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) across hubs whose estimate passes, from members (key, id, hub, n,
-    registers, count). A bucket of c members has ceil(c / BLOCK) blocks by a hash of the
-    id, and each pair of blocks is a group of its own."""
+def _block_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Likely links (a, b) across hubs, from members (key, band, count, id, hub, n, registers,
+    set). A bucket of c members has ceil(c / BLOCK) blocks by a hash of the id, and each pair of
+    blocks is a group of its own. A pair is looked at in the first band that it shares; if its
+    estimate passes, its sets of 32-bit hashes decide whether it leaves the block."""
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn(
@@ -147,41 +150,65 @@ def _block_pairs(members: DataFrame, least: float) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         ids, hubs, sizes = (table.column(c).to_numpy() for c in ("id", "hub", "n"))
         own, registers = table.column("own").to_numpy(), _registers(table.column("registers"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
-        out_a, out_b = [], []
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left:
-            ratio = np.minimum(sizes[x], sizes[right]) / np.maximum(sizes[x], sizes[right])
-            there = right[(hubs[right] != hubs[x]) & (ratio >= least) & ((ids[right] > ids[x]) | (i != j))]
+            there = right[(hubs[right] != hubs[x]) & ((ids[right] > ids[x]) | (i != j))]
+            there = there[np.minimum(sizes[x], sizes[there]) >= least * np.maximum(sizes[x], sizes[there])]
             if len(there):
-                rough = (registers[there] == registers[x]).mean(axis=1)
-                there = there[rough >= least - 0.15]
-            if len(there):
-                got = S.similarity(registers[x][None, :], registers[there], np.full(len(there), sizes[x]), sizes[there])
-                there = there[got >= least]
-                out_a.append(np.minimum(ids[x], ids[there]))
-                out_b.append(np.maximum(ids[x], ids[there]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
-
-    return dealt.select("key", "i", "j", "own", "id", "hub", "n", "registers").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A & B| >= percent * |A | B|, on full shingle sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+                there = there[(registers[there] == registers[x]).mean(axis=1) >= least - 0.15]
+                xs.append(np.full(len(there), x))
+                ys.append(there)
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        good = np.zeros(len(x), bool)
+        for k in range(0, len(x), 4096):
+            part = slice(k, k + 4096)
+            rx, ry = registers[x[part]], registers[y[part]]
+            same = (rx == ry)[:, : S.BANDS * S.ROWS].reshape(-1, S.BANDS, S.ROWS).all(axis=2)
+            good[part] = (same.argmax(axis=1) == band) & (S.similarity(rx, ry, sizes[x[part]], sizes[y[part]]) >= least)
+        x, y = x[good], y[good]
+        sets = table.column("set").combine_chunks()
+        low = {k: np.frombuffer(sets[k].as_buffer(), np.uint32) for k in np.unique(np.concatenate([x, y])).tolist()}
+        near = np.zeros(len(x), bool)
+        for k, (u, v) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            p, q = low[u], low[v]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            near[k] = 100 * both >= (percent - 1) * (len(p) + len(q) - both)
+        x, y = ids[x[near]], ids[y[near]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.select("key", "i", "j", "own", "band", "id", "hub", "n", "registers", "set").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """(id, set): sorted distinct shingle hashes, as bytes, of the documents in ``ids`` (id).
+
+    Up to ``BROADCAST`` ids are sent to where the texts are; more than that, and the texts
+    that fit are shuffled."""
+    ids = save(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST
 
     def whole(batches):
         for a, b, batch, elements, at in _sets(batches, size, 1 << 20):
-            offsets = pa.py_buffer((at * 8).astype(np.int32))
+            if bits == 32:
+                parts = [np.unique(elements[at[k] : at[k + 1]].astype(np.uint32)) for k in range(b - a)]
+                elements, at = np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
+            offsets = pa.py_buffer((at * (bits // 8)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").slice(a, b - a), pa.Array.from_buffers(pa.binary(), b - a, [None, offsets, pa.py_buffer(np.ascontiguousarray(elements))])],
                 ["id", "set"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = save(texts.mapInArrow(whole, "id long, set binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return save(texts.mapInArrow(whole, "id long, set binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * |A & B| >= percent * |A | B|, on full shingle sets."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    sets = _sets_of(ids, docs, size)
     joined = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
 
     def test(batches):
@@ -233,18 +260,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     member = _memberships(reps)
     buckets = member.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("count")).where("count > 1")
-    members = save(member.join(buckets, "key"), "members")
+    members = save(member.join(buckets.hint("merge"), "key"), "members")
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    pairs = save(_estimated(stars.join(side("a"), "a").join(side("b"), "b"), least), "stars")
-    stars = save(_verified(pairs, docs, size, percent), "links")
+    likely = save(_estimated(stars.join(side("a"), "a").join(side("b"), "b"), least), "stars")
+    stars = save(_verified(likely, docs, size, percent), "links")
 
-    hubs = stars.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("hub"))
-    labelled = members.join(hubs, "id", "left").select("key", "id", "count", F.coalesce("hub", "id").alias("hub"))
+    hubs = components(stars).withColumnRenamed("component", "hub")
+    labelled = members.join(hubs, "id", "left").select("key", "band", "id", "count", F.coalesce("hub", "id").alias("hub"))
     open_keys = labelled.groupBy("key").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.join(open_keys, "key").join(reps, "id")
-    pairs = save(_block_pairs(rest, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = stars.union(_verified(pairs, docs, size, percent))
+    rest = save(labelled.join(open_keys, "key"), "rest")
+    low = _sets_of(rest.select("id"), docs, size, bits=32)
+    found = _block_pairs(rest.join(reps, "id").join(low.dropDuplicates(["id"]), "id"), least, percent)
+    links = stars.union(_verified(save(found, "pairs"), docs, size, percent))
 
     found = components(links)
     of_set = alike.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
