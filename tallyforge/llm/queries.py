@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_model
+from . import licenses, quality_model, secrets, top_k, url_filter
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -14,6 +14,14 @@ from .record_files import token_records
 from .shared import table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_scan(table(spark, sf_dir, "documents")))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -31,15 +39,27 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_top_k": op1_top_k,
+    "op2_license_scan": op2_license_scan,
     "op3_minhash": op3_minhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_records": op5_token_records,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_url_filter": op7_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_top_k": top_k.oracle()}
