@@ -281,3 +281,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return placed.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns. Of rows that repeat a kept id,
+    one stays: the first by the hash of its text."""
+    found = near_duplicates(docs, size, percent)
+    gone = save(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    twice = save(docs.groupBy(docs["doc_id"].cast("long").alias("twice")).agg(F.count("*").alias("n")).where("n > 1 and twice is not null"), "twice")
+    if twice.isEmpty():
+        return left
+    names = docs.columns
+    row = left.select(F.struct(*[left[c] for c in names]).alias("row"), left["doc_id"].cast("long").alias("key"), F.monotonically_increasing_id().alias("nth"))
+    often = row.join(twice, F.col("key") == F.col("twice"), "left_semi")
+    first = often.groupBy("key").agg(F.min(F.struct(F.xxhash64("row.text").alias("h"), "nth")).alias("least"))
+    one = often.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.xxhash64("row.text") == F.col("least.h")) & (F.col("nth") == F.col("least.nth")))
+    once = row.join(twice, F.col("key") == F.col("twice"), "left_anti")
+    return once.select("row.*").unionByName(one.select("row.*"))
