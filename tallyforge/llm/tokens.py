@@ -5,7 +5,7 @@ are no white space, after such a line end, and between an ASCII letter and ASCII
 other than an apostrophe. No token of the tokenizers used here spans such a place, so a text's ids
 are those of its pieces in a row, and each distinct piece is encoded by the tokenizer once for
 as long as a worker remembers it (about ``REMEMBERED`` pieces; the older half goes first). Texts with white space
-outside ASCII, or with what may be a special token, aren't cut.
+outside ASCII (or the letter that stands for it), or with what may be a special token, aren't cut.
 
 A piece of Latin letters only is one word to the tokenizer, so its model gets it straight; that
 is done only if probes give the same ids as whole encoding does.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from .words import chunks
 
 REMEMBERED = 500_000
-_WIDE_SPACE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]|<\\|")
+_WIDE_SPACE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯▁　﻿]|<\\|")
 _WHITE = np.zeros(256, bool)
 _WHITE[:33] = True
 _CUT = np.zeros(256, bool)
@@ -109,6 +109,9 @@ class Encoder:
                 each.append(ids + self._tail(tail) if tail else ids)
             else:
                 each.append(self._whole(text))
+        self._store(pieces, each)
+
+    def _store(self, pieces: list[bytes], each: list[list[int]]) -> None:
         counts = np.array([len(x) for x in each], np.int64)
         total = int(counts.sum())
         if self.used + total > len(self.ids):
