@@ -214,7 +214,7 @@ def test_records_round_trip(spark, docs, empty):
         assert tuple(r) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     first = manifest[0]
-    index = np.fromfile(first.index.removeprefix("file://"), "<u8")
+    index = np.fromfile(first["index"].removeprefix("file://"), "<u8")
     order = list(range(first.records))[::-1]
     shuffled = list(record_files.read_at(first.file, [int(index[i]) for i in order], first.width))
     assert [x for x, _ in shuffled] == [r.doc_id for r in got[: first.records]][::-1]
