@@ -24,6 +24,14 @@ def converted(value: Column, have: T.DataType, want: T.DataType) -> Column:
     return value.cast(want)
 
 
+def _each(values: Column, kind: T.DataType) -> Column:
+    return F.transform(values, lambda x: x.cast(kind))
+
+
+def _field(records: Column, name: str, unset: float) -> Column:
+    return F.transform(records, lambda o: F.coalesce(o[name].cast("double"), F.lit(unset)))
+
+
 def _nested(df: DataFrame, schema: T.StructType, prefix: str) -> list[Column]:
     have, out = {f.name: f.dataType for f in df.schema.fields}, []
     for f in schema.fields:
@@ -33,7 +41,7 @@ def _nested(df: DataFrame, schema: T.StructType, prefix: str) -> list[Column]:
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             inner = f.dataType.elementType
             names = [(g, prefix + f.metadata.get(PREFIX, "") + g.metadata.get(SOURCE, g.name)) for g in inner.fields]
-            out.append(zipped({g.name: F.transform(F.col(c), lambda x, g=g: x.cast(g.dataType)) for g, c in names if c in have}, [g.name for g, _ in names], {g.name: g.dataType for g, _ in names}).alias(f.name))
+            out.append(zipped({g.name: _each(F.col(c), g.dataType) for g, c in names if c in have}, [g.name for g, _ in names], {g.name: g.dataType for g, _ in names}).alias(f.name))
         else:
             c = prefix + f.metadata.get(SOURCE, f.name)
             value = converted(F.col(c), have[c], f.dataType) if c in have else F.lit(None).cast(f.dataType)
@@ -88,7 +96,7 @@ def flatten(df: DataFrame, unset: float = UNSET, depth: int = 2) -> DataFrame:
             if level < depth:
                 for f in kind.elementType.fields:
                     if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
-                        out.append(F.transform(value, lambda o, f=f: F.coalesce(o[f.name].cast("double"), F.lit(float(unset)))).alias(f"{name}_{f.name}"))
+                        out.append(_field(value, f.name, float(unset)).alias(f"{name}_{f.name}"))
         elif isinstance(kind, T.ArrayType):
             out.append(value.alias(name))
         elif isinstance(kind, T.BooleanType):
