@@ -233,8 +233,6 @@ class _Analysis(Processor):
     def keep(self):
         return F.col("o_totalprice") > 300000
 
-    event_key = ("o_orderkey",)
-
 
 _SYS = "(VALUES ('', 1.0::DOUBLE), ('systematic/up/', 1.1::DOUBLE), ('systematic/down/', 0.9::DOUBLE)) s(sys, f)"
 _FAN = f"""SELECT o_orderkey, o_orderpriority, o_orderstatus, concat(sys, ch) AS variant, CASE WHEN sys = '' THEN o_totalprice ELSE o_totalprice * f END AS price
@@ -274,6 +272,13 @@ def skim_once(spark, sf_dir):
     return analyse(_Analysis(), read(spark, sf_dir, "orders")).skim.select("o_orderkey", "o_custkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice * 1.1::DOUBLE > 300000")
+def skim_by_variant(spark, sf_dir):
+    rows = variants.fan_out(read(spark, sf_dir, "orders"), _Analysis().channels(), _Analysis().systematics())
+    keep = (F.col("o_totalprice") > 300000) & (F.col("channel") == "urgent")
+    return variants.skim(rows, keep, "o_orderkey").select("o_orderkey")
+
+
 # blocks
 
 SEGMENT = F.pmod(F.col("o_custkey"), F.lit(8)).cast("int")
@@ -644,9 +649,9 @@ def flatten_nested(spark, sf_dir):
     return reshape.flatten(reshape.nest(read(spark, sf_dir, "orders"), ORDER_SCHEMA))
 
 
-@query("SELECT l_orderkey, string_agg(CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_quantity, l_extendedprice) AS prices FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber, l_quantity, l_extendedprice) AS prices FROM lineitem GROUP BY 1")
 def zip_columns(spark, sf_dir):
     items = _events(spark, sf_dir).select("l_orderkey", F.transform("items", lambda o: o["l_linenumber"]).alias("number"), F.transform("items", lambda o: o["l_extendedprice"]).alias("price"))
     records = reshape.zipped({"number": F.col("number"), "price": F.col("price")}, ["number", "price"], {"number": T.IntegerType(), "price": T.DoubleType()})
-    return items.select("l_orderkey", records.alias("r")).select("l_orderkey", F.array_join(F.transform("r", lambda o: F.round(o["price"]).cast("long").cast("string")), ",").alias("prices"))
+    return items.select("l_orderkey", records.alias("r")).select("l_orderkey", F.array_join(F.transform("r", lambda o: F.floor(o["price"]).cast("string")), ",").alias("prices"))
 

@@ -15,18 +15,22 @@ def field_stats(df: DataFrame, fields: Sequence[str] | None = None, sentinels: S
     """A row for each numeric field: n, total, mean, population stddev, min, max, and the second
     smallest and largest distinct values; absent values and sentinels don't count.
 
-    All but the second values come from one pass; those from one more aggregation over the
-    rows next to the ends."""
+    Two passes of one aggregation each over all fields side by side: rows aren't multiplied, and
+    one row reaches the driver in between."""
     names = list(fields or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)])
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("double").alias("x")) for n in names]))
-    long = df.select(pairs.alias("p")).select("p.*").where(F.col("x").isNotNull() & ~F.col("x").isin(*sentinels))
-    first = long.groupBy("field").agg(
-        F.count("*").alias("n"), F.sum("x").alias("total"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("stddev"), F.min("x").alias("min"), F.max("x").alias("max")
+    numbered = df.select(*[F.when(~F.col(n).cast("double").isin(*sentinels), F.col(n).cast("double")).alias(f"f{i}") for i, n in enumerate(names)])
+    measures = {"n": F.count, "total": F.sum, "mean": F.avg, "stddev": F.stddev_pop, "min": F.min, "max": F.max}
+    one = numbered.agg(*[f(f"f{i}").alias(f"{m}{i}") for i in range(len(names)) for m, f in measures.items()]).first()
+    inner = lambda f, i, test: f(F.when(test, F.col(f"f{i}")))
+    ends = numbered.agg(
+        *[inner(F.min, i, F.col(f"f{i}") > F.lit(one[f"min{i}"]).cast("double")).alias(f"min1_{i}") for i in range(len(names))],
+        *[inner(F.max, i, F.col(f"f{i}") < F.lit(one[f"max{i}"]).cast("double")).alias(f"max1_{i}") for i in range(len(names))],
     )
-    ends = long.join(F.broadcast(first.select("field", "min", "max")), "field").groupBy("field").agg(
-        F.min(F.when(F.col("x") > F.col("min"), F.col("x"))).alias("min1"), F.max(F.when(F.col("x") < F.col("max"), F.col("x"))).alias("max1")
-    )
-    return first.join(ends, "field", "left")
+    rows = [
+        F.struct(F.lit(n).alias("field"), *[F.lit(one[f"{m}{i}"]).cast("long" if m == "n" else "double").alias(m) for m in measures], F.col(f"min1_{i}").alias("min1"), F.col(f"max1_{i}").alias("max1"))
+        for i, n in enumerate(names)
+    ]
+    return ends.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def class_counts(df: DataFrame, class_column: str = "_class") -> DataFrame:

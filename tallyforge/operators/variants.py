@@ -40,6 +40,16 @@ def fan_out(events: DataFrame, channels: Mapping[str, Column] | None = None, sys
     return rows.withColumn(VARIANT, prefix)
 
 
+def skim_events(events: DataFrame, keep: Column, systematics: Mapping[str, Mapping[str, Column]] | None = None) -> DataFrame:
+    """Events for which ``keep`` holds as they are or with any systematic's shifts: a filter, as
+    all variants of an event are within its row. For conditions on the variant itself, ``skim``."""
+    rows = events.withColumn("_row", F.struct(*events.columns)).withColumn("_keep", F.coalesce(keep, F.lit(False)))
+    for columns in (systematics or {}).values():
+        rows = rows.withColumns(dict(columns)).withColumn("_keep", F.col("_keep") | F.coalesce(keep, F.lit(False)))
+        rows = rows.withColumns({c: F.col("_row")[c] for c in columns})
+    return rows.where("_keep").select("_row.*")
+
+
 def skim(rows: DataFrame, keep: Column, key: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """Each event once if ``keep`` holds in any of its variants."""
     keys = [key] if isinstance(key, str) else key

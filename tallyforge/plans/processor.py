@@ -16,7 +16,7 @@ class Processor:
     """Override ``process``, and what else is wanted. Nothing here runs per event: each hook
     returns expressions, and one job computes all fills of all variants."""
 
-    #: columns that identify an event, for skims
+    #: columns that identify an event; only for skims whose condition names the variant or channel
     event_key: Sequence[str] = ()
     #: how blocks end up in the output: AUTO keeps the input's, DROP writes none
     metadata: str = "AUTO"
@@ -59,7 +59,12 @@ def analyse(processor: Processor, events: DataFrame, metadata: DataFrame | None
     store = Store(F.col(variants.VARIANT), weight)
     processor.process(store)
     keep = processor.keep()
-    skim = None if keep is None else variants.skim(rows, keep, list(processor.event_key), [c for c in events.columns if c not in processor.event_key])
+    if keep is None:
+        skim = None
+    elif processor.event_key:
+        skim = variants.skim(rows, keep, list(processor.event_key), [c for c in events.columns if c not in processor.event_key])
+    else:
+        skim = variants.skim_events(events, keep, systematics)
     blocks_out = None if metadata is None or processor.metadata == "DROP" else processor.process_end_metadata(processor.process_new_metadata(metadata))
     return Analysis(store.run(rows, plan, keys), skim, blocks_out)
 
