@@ -59,12 +59,19 @@ SUMS = "round(sum(w), 4) AS sumw, round(sum(w * w), 4) AS sumw2, count(*) AS ent
 PRICE, QUANTITY, PART_PRICE = Axis(100, 0, 100000), Axis(10, 0, 50), Axis(20, 900, 2000)
 DISCOUNT = VariableAxis([0, 0.01, 0.02, 0.05, 0.08, 0.1])
 LOG = VariableAxis.log_bins(12, 100, 100000)
-WEIGHT = F.lit(1.0) - F.col("l_discount")
+
 W = "1.0::DOUBLE - l_discount"
 
 
-def _h1(spark, sf_dir, axis, value="l_extendedprice", weight=True) -> DataFrame:
-    store = Store("h/", WEIGHT if weight else 1.0)
+# Columns need a session, so nothing below makes one before a query runs.
+
+
+def weight():
+    return F.lit(1.0) - F.col("l_discount")
+
+
+def _h1(spark, sf_dir, axis, value="l_extendedprice", weighted=True) -> DataFrame:
+    store = Store("h/", weight() if weighted else 1.0)
     store.h1("x", axis, F.col(value))
     return store.run(read(spark, sf_dir, "lineitem"))
 
@@ -86,7 +93,7 @@ def h1_log_bins(spark, sf_dir):
 
 @query(f"SELECT {bin_sql('l_extendedprice', PRICE)} AS bx, {bin_sql('l_quantity', QUANTITY)} AS by, {SUMS} FROM (SELECT *, {W} AS w FROM lineitem) GROUP BY 1, 2")
 def h2_fill(spark, sf_dir):
-    cells = Store("h/", WEIGHT).h2("xy", PRICE, F.col("l_extendedprice"), QUANTITY, F.col("l_quantity")).run(read(spark, sf_dir, "lineitem"))
+    cells = Store("h/", weight()).h2("xy", PRICE, F.col("l_extendedprice"), QUANTITY, F.col("l_quantity")).run(read(spark, sf_dir, "lineitem"))
     return shown(cells, "bx", "by")
 
 
@@ -95,7 +102,7 @@ TAX = Axis(4, 0, 0.08)
 
 @query(f"SELECT {bin_sql('l_extendedprice', Axis(20, 0, 100000))} AS bx, {bin_sql('l_quantity', QUANTITY)} AS by, {bin_sql('l_tax', TAX)} AS bz, {SUMS} FROM (SELECT *, {W} AS w FROM lineitem) GROUP BY 1, 2, 3")
 def h3_fill(spark, sf_dir):
-    cells = Store("h/", WEIGHT).h3("xyz", Axis(20, 0, 100000), F.col("l_extendedprice"), QUANTITY, F.col("l_quantity"), TAX, F.col("l_tax")).run(read(spark, sf_dir, "lineitem"))
+    cells = Store("h/", weight()).h3("xyz", Axis(20, 0, 100000), F.col("l_extendedprice"), QUANTITY, F.col("l_quantity"), TAX, F.col("l_tax")).run(read(spark, sf_dir, "lineitem"))
     return shown(cells, "bx", "by", "bz")
 
 
@@ -117,7 +124,7 @@ def h1_scale(spark, sf_dir):
 @query(f"SELECT {bin_sql('l_extendedprice', HALF)} AS bx, round(sum(w), 4) AS sumw, round(sum(w * w), 4) AS sumw2, count(*) AS entries FROM (SELECT *, {W} AS w FROM lineitem) GROUP BY 1")
 def h1_merge(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem")
-    parts = [Store("h/", WEIGHT).h1("x", HALF, F.col("l_extendedprice")).run(items.where(F.col("l_orderkey") % 3 == i)) for i in range(3)]
+    parts = [Store("h/", weight()).h1("x", HALF, F.col("l_extendedprice")).run(items.where(F.col("l_orderkey") % 3 == i)) for i in range(3)]
     return shown(results.merge(*parts), "bx")
 
 
@@ -142,13 +149,17 @@ def h1_dense(spark, sf_dir):
 # counters
 
 CUTS = ["all", "returned", "large", "discounted"]
-_TESTS = {"all": None, "returned": F.col("l_returnflag") == "R", "large": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), "discounted": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)}
+
+
+def _tests():
+    return {"all": None, "returned": F.col("l_returnflag") == "R", "large": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), "discounted": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)}
+
 _SQL_TESTS = {"all": "true", "returned": "l_returnflag = 'R'", "large": "l_returnflag = 'R' AND l_quantity > 25", "discounted": "l_returnflag = 'R' AND l_quantity > 25 AND l_discount > 0.05::DOUBLE"}
 
 
 def _flow(spark, sf_dir) -> DataFrame:
-    store = Store("", WEIGHT)
-    for name, test in _TESTS.items():
+    store = Store("", weight())
+    for name, test in _tests().items():
         store.passed("cuts", name, test)
     return store.run(read(spark, sf_dir, "lineitem"))
 
@@ -175,13 +186,17 @@ def cutflow_efficiency(spark, sf_dir):
 # named stores
 
 MANY = [("price", PRICE, "l_extendedprice"), ("quantity", QUANTITY, "l_quantity"), ("tax", TAX, "l_tax"), ("discount", DISCOUNT, "l_discount"), ("log", LOG, "l_extendedprice")]
-_GROUPS = {"": None, "returned/": F.col("l_returnflag") == "R", "open/": F.col("l_linestatus") == "O"}
+
+
+def _groups():
+    return {"": None, "returned/": F.col("l_returnflag") == "R", "open/": F.col("l_linestatus") == "O"}
+
 _SQL_GROUPS = {"": "true", "returned/": "l_returnflag = 'R'", "open/": "l_linestatus = 'O'"}
 
 
 def _many(events: DataFrame, plan: str) -> DataFrame:
-    root = Store("all/", WEIGHT)
-    for group, test in _GROUPS.items():
+    root = Store("all/", weight())
+    for group, test in _groups().items():
         for name, axis, value in MANY:
             root(group).h1(name, axis, F.col(value), where=test)
     return root.run(events, plan)
@@ -202,14 +217,14 @@ def store_many_exploded(spark, sf_dir):
     return shown(_many(read(spark, sf_dir, "lineitem"), "explode"), "bx", path=True)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('all/{g}{n}', 'H1')" for g in _GROUPS for n, *_ in MANY) + ") t(path, kind)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('all/{g}{n}', 'H1')" for g in _SQL_GROUPS for n, *_ in MANY) + ") t(path, kind)")
 def store_paths(spark, sf_dir):
     return results.paths(_many(read(spark, sf_dir, "lineitem"), "union"))
 
 
 @query(f"SELECT concat('flag/', l_returnflag, '/x') AS path, {bin_sql('l_extendedprice', PRICE)} AS bx, {SUMS} FROM (SELECT *, ({W}) * 2.0::DOUBLE AS w FROM lineitem) GROUP BY 1, 2")
 def store_dynamic_path(spark, sf_dir):
-    store = Store("flag/", WEIGHT)(F.col("l_returnflag"), "/").mul_weight(2.0)
+    store = Store("flag/", weight())(F.col("l_returnflag"), "/").mul_weight(2.0)
     return shown(store.h1("x", PRICE, F.col("l_extendedprice")).run(read(spark, sf_dir, "lineitem")), "bx", path=True)
 
 
@@ -281,13 +296,12 @@ def skim_by_variant(spark, sf_dir):
 
 # blocks
 
-SEGMENT = F.pmod(F.col("o_custkey"), F.lit(8)).cast("int")
 _ORDERS = "o AS (SELECT *, CAST(o_custkey % 8 AS INTEGER) AS segment, date_trunc('month', o_orderdate) AS month FROM orders)"
 
 
 def _orders(spark, sf_dir) -> DataFrame:
     month = F.date_trunc("month", "o_orderdate")
-    return read(spark, sf_dir, "orders").withColumns({"segment": SEGMENT, "month": month, "run": (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int"), "lb": F.dayofmonth("o_orderdate")})
+    return read(spark, sf_dir, "orders").withColumns({"segment": F.pmod(F.col("o_custkey"), F.lit(8)).cast("int"), "month": month, "run": (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int"), "lb": F.dayofmonth("o_orderdate")})
 
 
 def _blocks(spark, sf_dir, every=None) -> DataFrame:

@@ -301,3 +301,13 @@ def test_fills_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.bx, r.entries) for r in spark.sql("select * from cells").collect()) == [(1, 5), (2, 5)]
+
+
+def test_entry_points_need_no_session():
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=repo, check=True)
