@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality_model, secrets, sentence_pieces, top_k, url_filter
+from . import licenses, oracles, quality_model, secrets, sentence_pieces, top_k, url_filter
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -67,4 +67,12 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op1_top_k": top_k.oracle()}
+#: Training, tokenizers and packing can't be put in SQL; the tests hold those against brute force.
+ORACLES: dict[str, str] = {
+    "op1_top_k": top_k.oracle(),
+    "op2_license_scan": oracles.license_labels(),
+    "op3_minhash": oracles.near_duplicates(size=4, percent=80),
+    "op7_url_filter": oracles.urls(),
+    "op9_quality_rules": oracles.quality(),
+    "op10_secret_scan": oracles.secret_spans(),
+}
