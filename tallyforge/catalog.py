@@ -19,6 +19,7 @@ from .operators import blocks as B
 from .operators import inspect, reshape, results, reweight, run_lists, variants
 from .operators.fill import Store
 from .plans.processor import Processor, analyse
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,6 +155,7 @@ CUTS = ["all", "returned", "large", "discounted"]
 def _tests():
     return {"all": None, "returned": F.col("l_returnflag") == "R", "large": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), "discounted": (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25) & (F.col("l_discount") > 0.05)}
 
+
 _SQL_TESTS = {"all": "true", "returned": "l_returnflag = 'R'", "large": "l_returnflag = 'R' AND l_quantity > 25", "discounted": "l_returnflag = 'R' AND l_quantity > 25 AND l_discount > 0.05::DOUBLE"}
 
 
@@ -191,6 +193,7 @@ MANY = [("price", PRICE, "l_extendedprice"), ("quantity", QUANTITY, "l_quantity"
 def _groups():
     return {"": None, "returned/": F.col("l_returnflag") == "R", "open/": F.col("l_linestatus") == "O"}
 
+
 _SQL_GROUPS = {"": "true", "returned/": "l_returnflag = 'R'", "open/": "l_linestatus = 'O'"}
 
 
@@ -669,3 +672,84 @@ def zip_columns(spark, sf_dir):
     records = reshape.zipped({"number": F.col("number"), "price": F.col("price")}, ["number", "price"], {"number": T.IntegerType(), "price": T.DoubleType()})
     return items.select("l_orderkey", records.alias("r")).select("l_orderkey", F.array_join(F.transform("r", lambda o: F.floor(o["price"]).cast("string")), ",").alias("prices"))
 
+
+
+# more of looking into tables and events
+
+
+@query(f"WITH {_STREAM} SELECT event_id, segment, md FROM e WHERE md IS NOT NULL")
+def metadata_only(spark, sf_dir):
+    return _stream(spark, sf_dir).where("md IS NOT NULL")
+
+
+@query("SELECT CAST(user_id % 3 AS INTEGER) AS segment, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+def footers(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    parts = [events.where(F.col("user_id") % 3 == i) for i in range(3)]
+    return tables.footers(tables.concatenate(*parts), "event_type")
+
+
+@query("SELECT CAST(o_custkey % 9 + 100000 AS VARCHAR) AS run, count(*) AS n, round(sum(o_totalprice), 2) AS sum_w FROM orders GROUP BY 1")
+def run_counts(spark, sf_dir):
+    name = F.concat(F.lit("mc."), (F.col("o_custkey") % 9 + 100000).cast("string"), F.lit(".root"))
+    out = inspect.run_counts(read(spark, sf_dir, "orders").withColumn("name", name), "name", "o_totalprice")
+    return out.withColumn("sum_w", F.round("sum_w", 2))
+
+
+@query("SELECT event_type, count(*) AS n, sum(CASE WHEN props IS NULL THEN 0 ELSE 1 END + CASE WHEN value IS NULL THEN 0 ELSE 1 END)::BIGINT AS fields FROM events GROUP BY 1")
+def class_fields(spark, sf_dir):
+    return inspect.class_sizes(read(spark, sf_dir, "events").select("event_type", "value", "props"), "event_type").select("event_type", "n", "fields")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_extendedprice) >= 15000 AND abs(l_discount * 40::DOUBLE) <= 2.5::DOUBLE AND l_quantity >= 1 AND l_linenumber >= 4")
+def track_selection(spark, sf_dir):
+    test = O.good_track(F.col("l_extendedprice"), F.col("l_discount") * 40.0, F.col("l_quantity"), F.col("l_linenumber"))
+    return read(spark, sf_dir, "lineitem").where(test).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 8 OR p_partkey = 21 OR (p_partkey >= 1000 AND p_partkey < 10000 AND (p_partkey // 10) % 10 = 0)")
+def coloured(spark, sf_dir):
+    return read(spark, sf_dir, "part").where(O.is_coloured(F.col("p_partkey"))).select("p_partkey")
+
+
+@query("SELECT l_orderkey, round(coalesce(-sum(l_extendedprice) FILTER (WHERE l_quantity < 15), 0), 2) AS central, round(coalesce(-sum(l_extendedprice) FILTER (WHERE l_quantity >= 15 AND l_quantity < 32), 0), 2) AS endcap FROM lineitem GROUP BY 1")
+def regional_sums(spark, sf_dir):
+    part = lambda lo, hi: F.round(O.regional_sum(F.col("items"), lambda o: o["l_extendedprice"], lambda o: o["l_quantity"], lo, hi), 2)
+    return _events(spark, sf_dir).select("l_orderkey", part(0, 15).alias("central"), part(15, 32).alias("endcap"))
+
+
+@query("SELECT a.l_orderkey, count(*) AS matched FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = 'R' AND abs(b.l_quantity - a.l_quantity) < 3) GROUP BY 1")
+def object_matching(spark, sf_dir):
+    items = F.col("items")
+    returned = F.filter(items, lambda o: o["l_returnflag"] == "R")
+    found = O.matched(items, returned, lambda a, b: F.abs(a["l_quantity"] - b["l_quantity"]), 3.0)
+    return _events(spark, sf_dir).select("l_orderkey", F.size(found).cast("long").alias("matched")).where("matched > 0")
+
+
+@query(f"SELECT cut, CAST(ordinal AS INTEGER) AS ordinal, round(sum(CASE WHEN s = 'O' THEN w ELSE 0 END), 4) AS \"O\", round(sum(CASE WHEN s = 'F' THEN w ELSE 0 END), 4) AS \"F\", round(sum(w), 4) AS background, round(sqrt(sum(w)), 6) AS error FROM ({' UNION ALL '.join(f"SELECT '{n}' AS cut, {i} AS ordinal, l_linestatus AS s, count(*)::DOUBLE AS w FROM lineitem WHERE {t} GROUP BY 3" for i, (n, t) in enumerate(_SQL_TESTS.items()))}) GROUP BY 1, 2")
+def cutflow_table(spark, sf_dir):
+    store = Store()
+    for name, test in _tests().items():
+        store.passed("cuts", name, test)
+    cells = store.run(read(spark, sf_dir, "lineitem").withColumn("sample", F.col("l_linestatus")), keys=["sample"])
+    out = results.cut_table(cells, ["O", "F"], ["O", "F"])
+    return out.select("cut", "ordinal", *[F.round(c, 4).alias(c) for c in ("O", "F", "background")], F.round("error", 6).alias("error"))
+
+
+@query(f"WITH c AS (SELECT concat(o_orderstatus, '/p') AS path, count(*)::DOUBLE AS integral FROM orders GROUP BY 1) SELECT path, integral, CAST(row_number() OVER (ORDER BY path <> 'P/p', integral, path) AS INTEGER) AS place FROM c")
+def stack_order(spark, sf_dir):
+    cells = Store(F.concat(F.col("o_orderstatus"), F.lit("/"))).h1("p", ORDER_PRICE, F.col("o_totalprice")).run(read(spark, sf_dir, "orders"))
+    return results.stacked(cells, "P/p")
+
+
+@query("SELECT o_orderkey, coalesce(o_totalprice, 0) AS o_totalprice, '' AS comment, 0 AS flags FROM orders")
+def with_defaults(spark, sf_dir):
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("comment", T.StringType()), T.StructField("flags", T.IntegerType())])
+    return reshape.with_defaults(read(spark, sf_dir, "orders"), schema)
+
+
+@query("SELECT n_name AS sample, r_name AS set_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0")
+def missing_samples(spark, sf_dir):
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    sets = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("sample"), F.col("r_name").alias("set_name"))
+    return reweight.missing_samples(sets, _samples(spark, sf_dir)[1].select("sample"))

@@ -143,3 +143,38 @@ def round_to_error(value: float, error: float, digits: int = 2) -> tuple[float,
         return value, error
     places = digits - 1 - math.floor(math.log10(abs(error)))
     return round(value, places), round(error, places)
+
+
+def listing(cells: DataFrame, bins: dict[str, int] | None = None) -> DataFrame:
+    """Cells in order, as one reads them; of 2- and 3-d histograms without under- and overflow,
+    ``bins`` giving the inner bins of their first axis."""
+    flat = F.col("by").isNull()
+    inner = (F.col("bx") > 0) & (F.col("by") > 0) & (F.col("bz").isNull() | (F.col("bz") > 0))
+    for path, n in (bins or {}).items():
+        inner = inner & ((F.col("path") != path) | (F.col("bx") <= n))
+    shown = cells.where(flat | inner)
+    return shown.withColumn("error", F.sqrt("sumw2")).orderBy("path", "ordinal", "bz", "by", "bx")
+
+
+def cut_table(flows: DataFrame, samples: Sequence[str], background: Sequence[str]) -> DataFrame:
+    """A row for each counter and a column for each sample (of ``flows`` with ``sample``), and the
+    sum of the background ones with its error."""
+    value = flows.groupBy("cut").agg(
+        F.min("ordinal").alias("ordinal"),
+        *[F.coalesce(F.sum(F.when(F.col("sample") == s, F.col("sumw"))), F.lit(0.0)).alias(s) for s in samples],
+        F.coalesce(F.sum(F.when(F.col("sample").isin(*background), F.col("sumw"))), F.lit(0.0)).alias("background"),
+        F.sqrt(F.coalesce(F.sum(F.when(F.col("sample").isin(*background), F.col("sumw2"))), F.lit(0.0))).alias("error"),
+    )
+    return value.orderBy("ordinal")
+
+
+def stacked(cells: DataFrame, first: str = "QCD") -> DataFrame:
+    """Paths in the order in which they are stacked: ``first``, then by their sums."""
+    return cells.groupBy("path").agg(F.sum("sumw").alias("integral")).withColumn("place", F.row_number().over(Window.orderBy(F.col("path") != first, "integral", "path")))
+
+
+def as_latex(rows: list, columns: Sequence[str], digits: int = 2) -> str:
+    """A table of collected rows."""
+    cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_")
+    lines = [" & ".join(c.replace("_", r"\_") for c in columns), *(" & ".join(cell(r[c]) for c in columns) for r in rows)]
+    return "\\begin{tabular}{l" + "r" * (len(columns) - 1) + "}\n" + " \\\\\n".join(lines) + " \\\\\n\\end{tabular}"
