@@ -295,7 +295,8 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
         return left
     names = docs.columns
     row = left.select(F.struct(*[left[c] for c in names]).alias("row"), left["doc_id"].cast("long").alias("key"), F.monotonically_increasing_id().alias("nth"))
-    often = row.join(twice, F.col("key") == F.col("twice"), "left_semi")
+    # written, as it is read twice and a row's number must be the same both times
+    often = save(row.join(twice, F.col("key") == F.col("twice"), "left_semi"), "often")
     first = often.groupBy("key").agg(F.min(F.struct(F.xxhash64("row.text").alias("h"), "nth")).alias("least"))
     one = often.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.xxhash64("row.text") == F.col("least.h")) & (F.col("nth") == F.col("least.nth")))
     once = row.join(twice, F.col("key") == F.col("twice"), "left_anti")
