@@ -132,8 +132,8 @@ def _explode(events: DataFrame, fills: list[Fill], keys: Sequence[str]) -> DataF
     for f in fills:
         one = F.struct(*f.cell(), f.weight.cast("double").alias("w"))
         made.append(one if f.where is None else F.when(f.where, one))
-    each = F.filter(F.array(*made), lambda c: c.isNotNull())
-    rows = events.select(*keys, F.explode(each).alias("c")).select(*keys, "c.*")
+    # fills that don't hold are null and dropped after the explode, which stays in generated code
+    rows = events.select(*keys, F.explode(F.array(*made)).alias("c")).where("c IS NOT NULL").select(*keys, "c.*")
     return rows.groupBy(*keys, *CELL).agg(F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"), F.count("*").alias("entries"))
 
 

@@ -19,10 +19,10 @@ def running_cells(events: DataFrame, store: Store, keys: Sequence[str] = (), eve
     for f in store.book.fills:
         one = F.struct(*f.cell(), f.weight.cast("double").alias("w"))
         made.append(one if f.where is None else F.when(f.where, one))
-    each = F.explode(F.filter(F.array(*made), lambda c: c.isNotNull())).alias("c")
+    each = F.explode(F.array(*made)).alias("c")
     if window:
-        rows = events.withWatermark(event_time, late).select(*keys, event_time, each).select(*keys, event_time, "c.*")
+        rows = events.withWatermark(event_time, late).select(*keys, event_time, each).where("c IS NOT NULL").select(*keys, event_time, "c.*")
         by = [*keys, F.window(event_time, window), *CELL]
     else:
-        rows, by = events.select(*keys, each).select(*keys, "c.*"), [*keys, *CELL]
+        rows, by = events.select(*keys, each).where("c IS NOT NULL").select(*keys, "c.*"), [*keys, *CELL]
     return rows.groupBy(*by).agg(F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"), F.count("*").alias("entries"))
