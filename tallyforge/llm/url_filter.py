@@ -13,7 +13,7 @@ is judged:
    pages of the whole table's share, is at least ``PURITY``.
 
 Counts are aggregated per (host, prefix, segment) before they meet by node, so a host with a
-third of all pages is only counted in parts; joins back are on (host, prefix).
+third of all pages is only counted in parts; joins back are on (host, prefix) and a salt.
 
 Defined results: a url that is null or without ``://`` has an empty host and path, no rule and
 the verdict of the empty host's own branch. Rows are judged one by one; repeated rows count
@@ -32,6 +32,7 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 #: A node's segments are a variable if it has over MANY different ones and over one for every PAGES_EACH pages.
 MANY, PAGES_EACH, RARE = 20, 5, 3
 PRIOR, PURITY = 10, 0.8
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -59,7 +60,10 @@ def _level(tree: DataFrame, prefix: str, segment: str, name: str) -> DataFrame:
     variable = (F.col("different") > MANY) & (F.col("different") * PAGES_EACH > F.col("all"))
     lone = (F.col("own") < RARE) & (F.col("different") > 1)
     shown = F.when(F.col(segment) == "", "").when(variable | lone | F.rlike(F.col(segment), F.lit("^[0-9]+$")), "*").otherwise(F.col(segment))
-    keyed = each.join(node, ["host", prefix]).select("host", prefix, segment, F.concat(F.col(prefix), F.lit("/"), shown).alias(name))
+    # a host with many segments is dealt over SALTS groups
+    salted = each.withColumn("salt", F.pmod(F.xxhash64(segment), F.lit(SALTS)).cast("int"))
+    spread = node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = salted.join(spread, ["host", prefix, "salt"]).select("host", prefix, segment, F.concat(F.col(prefix), F.lit("/"), shown).alias(name))
     return tree.join(keyed, ["host", prefix, segment])
 
 
