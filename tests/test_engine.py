@@ -311,3 +311,17 @@ def test_entry_points_need_no_session():
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=repo, check=True)
+
+
+def test_the_library_stands_alone():
+    """Only the entry point may know of the corpus operators."""
+    import os
+    import re
+
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tallyforge")
+    for folder, _, names in os.walk(root):
+        if os.path.basename(folder) in ("llm", "__pycache__"):
+            continue
+        for name in names:
+            if name.endswith(".py"):
+                assert not re.search(r"import.*\bllm\b", open(os.path.join(folder, name)).read()), name
