@@ -381,3 +381,10 @@ def test_top_k(spark):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_every_operator_has_its_query():
+    from tallyforge.llm import queries
+
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
