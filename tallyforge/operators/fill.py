@@ -5,9 +5,9 @@ turns them into one DataFrame of cells
 
     path, kind, bx, by, bz, cut, ordinal, sumw, sumw2, entries
 
-The *union* plan gives each fill its own partial aggregation over a scan of its own columns; the
-*explode* plan reads once and puts an array of fills out for each row. Both meet in one
-aggregation by cell, whose state is as large as the histograms and not as the input.
+The *union* plan gives each fill its own scan of its own columns; the *explode* plan reads once and
+puts an array of fills out for each row. Both end in one aggregation by cell, whose state and
+shuffle are as large as the histograms and not as the input.
 """
 
 from __future__ import annotations
@@ -119,11 +119,9 @@ class Store:
 
 
 def _union(events: DataFrame, fills: list[Fill], keys: Sequence[str]) -> DataFrame:
-    parts = []
-    for f in fills:
-        rows = events if f.where is None else events.where(f.where)
-        own = rows.select(*keys, *f.cell(), f.weight.cast("double").alias("w"))
-        parts.append(own.groupBy(*keys, *CELL).agg(F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"), F.count("*").alias("entries")))
+    """A row for each fill and event. Union is narrow: each branch is aggregated by its own tasks
+    before the one shuffle that all of them share."""
+    parts = [(events if f.where is None else events.where(f.where)).select(*keys, *f.cell(), f.weight.cast("double").alias("w")) for f in fills]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -133,8 +131,7 @@ def _explode(events: DataFrame, fills: list[Fill], keys: Sequence[str]) -> DataF
         one = F.struct(*f.cell(), f.weight.cast("double").alias("w"))
         made.append(one if f.where is None else F.when(f.where, one))
     # fills that don't hold are null and dropped after the explode, which stays in generated code
-    rows = events.select(*keys, F.explode(F.array(*made)).alias("c")).where("c IS NOT NULL").select(*keys, "c.*")
-    return rows.groupBy(*keys, *CELL).agg(F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"), F.count("*").alias("entries"))
+    return events.select(*keys, F.explode(F.array(*made)).alias("c")).where("c IS NOT NULL").select(*keys, "c.*")
 
 
 def fill(events: DataFrame, fills: list[Fill], plan: str = "union", keys: Sequence[str] = ()) -> DataFrame:
@@ -142,10 +139,5 @@ def fill(events: DataFrame, fills: list[Fill], plan: str = "union", keys: Sequen
         raise ValueError(f"no such plan: {plan}")
     if not fills:
         raise ValueError("nothing is filled")
-    if plan == "explode":
-        return _explode(events, fills, keys)
-    cells = _union(events, fills, keys)
-    paths = [str(f.path) + f.kind + str(f.cut) for f in fills]
-    if len(set(paths)) == len(paths):
-        return cells
-    return cells.groupBy(*keys, *CELL).agg(F.sum("sumw").alias("sumw"), F.sum("sumw2").alias("sumw2"), F.sum("entries").alias("entries"))
+    rows = (_union if plan == "union" else _explode)(events, fills, keys)
+    return rows.groupBy(*keys, *CELL).agg(F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"), F.count("*").alias("entries"))
