@@ -7,7 +7,7 @@ beside it, and that combination is taken out as often as its lengths last. Each
 uses some length up to less than its own share, so there are few of them.
 
 Pieces are numbered within their length (by written part, then place), and that number says
-which bin and which place a piece gets. One pass encodes; its pieces go to the shared folder, and
+which bin and which place a piece gets: both tables it takes are small, so no ids are shuffled. One pass encodes; its pieces go to the shared folder, and
 numbers come from that table, so they don't change if a task runs again.
 
 A document of more than ``size`` ids is cut into pieces of ``size``, the remainder first.
@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import save
@@ -30,6 +30,9 @@ from .tokens import encoder
 
 END_ID = 2
 SIZE = 1024
+BROADCAST = 2_000_000
+#: rows that a worker has as Python texts at a time
+ROWS = 1000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -87,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     def run(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for first, ids, counts in enc.encode(texts):
                 at, rows, kept = 0, [], []
@@ -106,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                 if rows:
                     columns = [pa.array(c, pa.int32() if i in (1, 5) else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
                     if with_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept), pa.int64()).cast(pa.int32())))
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept).astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(columns, NAMES + ["ids"] * with_ids)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
@@ -123,23 +126,20 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = sorted(plan(counts, size))
     # where each part's pieces of a length begin: a running sum over parts, dealt by length
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = cut.join(each.select("length", "part", before.alias("before")), ["length", "part"])
-    table = np.array(rows or np.zeros((0, 6)), np.int64)
-    # one key for (length, number): lengths are at most `size`, numbers far below 2**50
-    keys = table[:, 0] * (1 << 50) + table[:, 1]
-
-    def place(batches):
-        for batch in batches:
-            length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
-            row = table[np.searchsorted(keys, length * (1 << 50) + number, "right") - 1] if len(keys) else np.zeros((0, 6), np.int64)
-            nth = number - row[:, 1]
-            sequence, offset = row[:, 3] + nth // np.maximum(1, row[:, 4]), row[:, 5] + nth % np.maximum(1, row[:, 4]) * length
-            rest = [n for n in batch.schema.names if n != "number"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(sequence), pa.array(offset)], [*rest, "sequence_id", "offset"])
-
-    names = NAMES[:5] + ["ids"] * with_ids
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
-    return numbered.select(*names, (F.col("before") + F.col("nth")).alias("number")).mapInArrow(place, schema)
+    parts = each.select("length", "part", before.alias("before"))
+    # at most `size` rows for each written part
+    few = each.count() <= BROADCAST
+    numbered = cut.join(F.broadcast(parts) if few else parts, ["length", "part"]).withColumn("number", F.col("before") + F.col("nth"))
+    spark = docs.sparkSession
+    by_length = spark.createDataFrame([(n, [tuple(r[1:]) for r in rows if r[0] == n]) for n in sorted({r[0] for r in rows})], f"length long, runs array<{RUN}>")
+    # the last run of the piece's length that begins at its number or before
+    run = F.element_at(F.filter("runs", lambda r: r["from"] <= F.col("number")), -1)
+    placed = numbered.join(F.broadcast(by_length), "length").withColumn("run", run).withColumn("k", F.col("number") - F.col("run.from"))
+    sequence = F.col("run.first") + F.floor(F.col("k") / F.col("run.each"))
+    offset = F.col("run.place") + F.pmod("k", F.col("run.each")) * F.col("length")
+    return placed.select(*NAMES[:5], *["ids"] * with_ids, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+
+
+#: one row of ``plan`` without its length
+RUN = "struct<from:long,to:long,first:long,each:long,place:long>"

@@ -22,7 +22,7 @@ import pyarrow as pa
 
 from .words import chunks
 
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _WIDE_SPACE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]|<\\|")
 _WHITE = np.zeros(256, bool)
 _WHITE[:33] = True
@@ -147,7 +147,7 @@ class Encoder:
         where = np.arange(total[-1] if n else 0) + np.repeat(self.start[which] - (total - length), length)
         return self.ids[where], length
 
-    def encode(self, texts: list[str | None], size: int = 1 << 22):
+    def encode(self, texts: list[str | None], size: int = 1 << 21):
         """For runs of texts: (first text, ids of all of them in a row, ids of each)."""
         for a, b, raw, offsets in chunks(texts, size):
             data = np.frombuffer(raw, np.uint8)
