@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from tallyforge.llm import near_dup, packing, quality_model, quality_rules, secrets
+from tallyforge.llm import near_dup, packing, quality_model, quality_rules, secret_scan
 from tallyforge.llm.shared import save, table
 
 
@@ -28,9 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.deduplicated(docs, size=5, percent=80)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts."""
-    return secrets.redacted(docs)
+    return secret_scan.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", repetition_rules),
     ("near dedup", near_dedup),
-    ("secret scan", secret_scan),
+    ("secret scan", secret_masking),
     ("best-fit packing", best_fit_packing),
 ]
 #: No stage but the secret scan could be put in SQL; the tests hold the rows against brute force.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from . import licenses, quality_rules, secrets, url_filter
+from . import licenses, quality_rules, secret_scan, url_filter
 
 
 def _text(s: str) -> str:
@@ -92,7 +92,7 @@ def urls() -> str:
 
 
 def secret_spans() -> str:
-    kinds = [("assign", secrets.ASSIGN, 2, 6, 0), ("access", secrets.ACCESS, 0, 0, 20), ("hex", secrets.HEX, 0, 0, 24), *((k, r, 0, 0, 0) for k, r, _ in secrets.MORE)]
+    kinds = [("assign", secret_scan.ASSIGN, 2, 6, 0), ("access", secret_scan.ACCESS, 0, 0, 20), ("hex", secret_scan.HEX, 0, 0, 24), *((k, r, 0, 0, 0) for k, r, _ in secret_scan.MORE)]
     parts = []
     for i, (kind, regex, group, part, whole) in enumerate(kinds):
         r = _text(regex)
@@ -103,7 +103,7 @@ def secret_spans() -> str:
               SELECT doc_id, source, regexp_extract_all(t, {r}) AS v, regexp_extract_all(t, {r}, {group}) AS p, string_split_regex(t, {r}) AS g FROM d WHERE regexp_matches(t, {r})))) WHERE {test}""")
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)}
-    ), o AS (SELECT value FROM s WHERE kind > 2 GROUP BY 1 HAVING count(DISTINCT coalesce(source, '')) >= {secrets.MIN_OWNERS}
+    ), o AS (SELECT value FROM s WHERE kind > 2 GROUP BY 1 HAVING count(DISTINCT coalesce(source, '')) >= {secret_scan.MIN_OWNERS}
     ), k AS (SELECT *, name || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT) AS shown FROM s WHERE kind < 3 OR value NOT IN (SELECT value FROM o))
     SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
       sha256(coalesce(string_agg(shown, ',' ORDER BY pos, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY pos, kind), '') AS spans

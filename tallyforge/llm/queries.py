@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, oracles, quality_model, secrets, sentence_pieces, top_k, url_filter
+from . import licenses, oracles, quality_model, secret_scan, sentence_pieces, top_k, url_filter
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
@@ -52,7 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {

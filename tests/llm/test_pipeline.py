@@ -4,7 +4,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
-from tallyforge.llm import quality_model, secrets
+from tallyforge.llm import quality_model, secret_scan
 from tallyforge.llm.shared import table
 
 from test_llm import base_spans, brute_rules, encoded, shingles
@@ -58,7 +58,7 @@ def test_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near dedup", "secret scan", "best-fit packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
-    assert all(secrets.KINDS.index(k) == i for i, k in enumerate(("assign", "access", "hex")))
+    assert all(secret_scan.KINDS.index(k) == i for i, k in enumerate(("assign", "access", "hex")))
 
 
 def test_pipeline_of_nothing(spark, sf_dir, tmp_path):
