@@ -33,7 +33,7 @@ from .native import let
 from .shared import save
 from .tokens import Encoder
 
-FREQUENT, LONGEST = 50_000, 20
+FREQUENT, LONGEST, SHORT = 50_000, 20, 40
 BLANK = "▁"
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 WORD = f"{BLANK}*[{LETTER}]+|{BLANK}*[^{BLANK}{LETTER}]+|{BLANK}+"
@@ -118,6 +118,7 @@ class PieceEncoder(Encoder):
     def __init__(self, model: str, known: dict[str, list[int]]):
         rows = pieces(model)
         self.rank = {p: (-s, i) for i, p, s, byte in rows if not byte}
+        self.cost = {p: c for p, (c, _) in self.rank.items()}
         self.byte = {int(p[3:5], 16): i for i, p, _, byte in rows if byte}
         self.words = known
         self._forget()
@@ -129,6 +130,8 @@ class PieceEncoder(Encoder):
     def fold(self, word: str) -> list[int]:
         """Merges the best pair first, as ``segment`` does, with a heap for long words."""
         n, rank = len(word), self.rank
+        if n <= SHORT:
+            return self._fold_short(word)
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
         heap = [(cost[0], i, i + 1, i + 2) for i in range(n - 1) if (cost := rank.get(word[i : i + 2]))]
@@ -155,6 +158,25 @@ class PieceEncoder(Encoder):
             i = after[i]
         return out
 
+    def _fold_short(self, word: str) -> list[int]:
+        """The same for a word of few characters, by looking for the best pair each time."""
+        cost, never = self.cost.get, float("inf")
+        parts = list(word)
+        costs = [cost(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) < never:
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], never)
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], never)
+        out = []
+        for p in parts:
+            found = self.rank.get(p)
+            out += [found[1]] if found else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
+        return out
+
     def _learn(self, pieces: list[bytes]) -> None:
         self._store(pieces, [self._whole(p.decode("utf-8", "surrogatepass")) for p in pieces])
 
@@ -185,12 +207,14 @@ def encode(docs: DataFrame, model: str, frequent: int = FREQUENT, with_ids: bool
         for batch in batches:
             texts = [" " + t if t else "" for t in batch.column("text").to_pylist()]
             for first, ids, counts in encoder.encode(texts):
-                last, at, out = first + len(counts), np.concatenate([[0], np.cumsum(counts)]), []
+                last, at = first + len(counts), np.concatenate([[0], np.cumsum(counts)])
                 ids = ids.astype("<u4")
+                total = np.concatenate([[0], np.cumsum(encoder.size[ids])])[at].tolist()
+                back, place, out = encoder.decode(ids), at.tolist(), []
                 for k in range(len(counts)):
-                    own = ids[at[k] : at[k + 1]]
-                    same = encoder.decode(own) == texts[first + k].replace(BLANK, " ").encode("utf-8", "surrogatepass")
-                    out.append((len(own), zlib.crc32(own), same and BLANK not in texts[first + k]))
+                    text = texts[first + k]
+                    same = BLANK not in text and back[total[k] : total[k + 1]] == text.encode("utf-8", "surrogatepass")
+                    out.append((place[k + 1] - place[k], zlib.crc32(ids[place[k] : place[k + 1]]), same))
                 n, crc, same = zip(*out, strict=True)
                 columns = [batch.column("doc_id").slice(first, last - first), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)]
                 if with_ids:
