@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch as S
 from .shared import save
-from .words import U64, chunks, hashes, mix, split
+from .words import U64, chunks, give_back, hashes, mix, split
 
 BLOCK = 256
 BROADCAST = 2_000_000
@@ -74,6 +74,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, step: int):
             with np.errstate(over="ignore"):
                 elements, at = shingle_sets(hashes(np.frombuffer(lower_ascii(raw), np.uint8), start, end), first, size)
             yield a, b, batch, elements, at
+    give_back()
 
 
 def _binary(rows: np.ndarray) -> pa.Array:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import save
 from .tokens import encoder
+from .words import give_back
 
 END_ID = 2
 SIZE = 1024
@@ -111,6 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept).astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(columns, NAMES + ["ids"] * with_ids)
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, chunks, hashes, mix, split
+from .words import U64, chunks, give_back, hashes, mix, split
 
 BITS = 17
 MAX_LABELLED = 8000
@@ -197,6 +197,7 @@ def _scorer(model: Model):
                 score[a : a + len(at) - 1] = model.score(ids, at)
             rest = batch.schema.names[1:]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score)], [*rest, "score"])
+        give_back()
 
     return run
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import U64, chunks, hashes, mix, split
+from .words import U64, chunks, give_back, hashes, mix, split
 
 MIN_REPEAT = 8
 MAX_COVERED = 0.30
@@ -168,6 +168,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
             rest = [c.slice(a, b - a) for c in batch.select(batch.schema.names[1:]).columns]
             yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, columns.values())], [*batch.schema.names[1:], *columns])
+    give_back()
 
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"

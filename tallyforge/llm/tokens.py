@@ -22,7 +22,7 @@ import pyarrow as pa
 
 from .words import chunks
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _WIDE_SPACE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]|<\\|")
 _WHITE = np.zeros(256, bool)
 _WHITE[:33] = True

@@ -7,9 +7,11 @@ taken from prefix sums, so that no Python code runs for each word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -110,3 +112,12 @@ def split(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     data = np.frombuffer(raw, np.uint8)
     start, end = bounds(data)
     return data, start, end, np.searchsorted(start, offsets)
+
+
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system. Workers outlive their tasks, and what
+    one stage's arrays took would else be held while the next ones run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
