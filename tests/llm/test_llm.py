@@ -346,6 +346,29 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.secrets(empty).collect() == []
 
 
+def key_block(body, kind="RSA ", end=True):
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n" + f"-----END {kind}PRIVATE KEY-----" * end
+
+
+def test_private_keys_are_whole_and_differ(spark):
+    rng = random.Random(8)
+    body = lambda: "\n".join("".join(rng.choice("GHIJKLghijkl+/") for _ in range(n)) for n in (64, 64, 10))
+    own, shared, cut, armor = [body() for _ in range(6)], body(), body(), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,GH\n\n" + body()
+    escaped = shared.replace("\n", "\\n")
+    texts = [(f"é my {key_block(b)} there", f"s{i}") for i, b in enumerate(own)]
+    texts += [(f"see {key_block(shared)}", f"s{i}") for i in range(4)] + [("see " + key_block(escaped).replace("\n", "\\n"), "s4")]
+    texts += [(f"a {key_block(cut, '', False)}the next words", "s0"), (f"b {key_block(armor, end=False)}", "s0"), (f"c {key_block(armor)}", "s1"), ("-" * 90_000 + key_block(cut, "EC ", False) + "- x " * 90_000, "s1")]
+    texts += [(f"{key_block(body(), end=False)}-----BEGIN CERTIFICATE-----\nMIIGG\n-----END CERTIFICATE-----", "s2")]
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, (t, s) in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert [out[i] for i in range(6)] == ["é my [secret] there"] * 6
+    assert [out[i] for i in range(6, 11)] == [t for t, _ in texts[6:11]]
+    assert (out[11], out[12], out[13]) == ("a [secret]\nthe next words", "b [secret]\n", "c [secret]")
+    assert out[14] == "-" * 90_000 + "[secret]\n" + "- x " * 90_000
+    assert out[15] == "[secret]\n-----BEGIN CERTIFICATE-----\nMIIGG\n-----END CERTIFICATE-----"
+    assert secret_scan.digest(secret_scan.secrets(docs)).where("doc_id = 0").first().spans == f"private_key:5:{5 + len(key_block(own[0]))}"
+
+
 def test_url_rules(spark):
     urls = [None, "", "no host", "HTTP://A.Example.ORG/es/1?x#y", "x://example.org/en/12", "x://example.org/en/2", "http://notexample.org/es/", "http://b.com/fr/1", "http://b.com/de/", "http://com/de/?q", "http://net", "a://b.org", "http://b.com/en/9"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://b.com/de/7")], "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "pages": F.lit(3)})
