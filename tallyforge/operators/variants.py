@@ -60,8 +60,11 @@ def skim(rows: DataFrame, keep: Column, key: str | list[str], columns: list[str]
 
 
 def shifted(cells: DataFrame) -> DataFrame:
-    """(path, bx, source, shift): cells below ``systematic/<s>/`` against the nominal ones."""
+    """(path, bx, source, shift): cells below ``systematic/<s>/`` against the nominal ones. A cell
+    that only one side has counts as 0 on the other, for each source that has the path."""
     parsed = cells.withColumns({"source": F.regexp_extract("path", "^systematic/([^/]+)/", 1), "base": F.regexp_replace("path", "^systematic/[^/]+/", "")})
-    nominal = parsed.where("source = ''").select("base", "bx", F.col("sumw").alias("nominal"))
-    moved = parsed.where("source <> ''").select("base", "bx", "source", "sumw")
-    return moved.join(nominal, ["base", "bx"], "left").select(F.col("base").alias("path"), "bx", "source", (F.col("sumw") - F.coalesce("nominal", F.lit(0.0))).alias("shift"))
+    cell = [c for c in cells.columns if c not in ("path", "sumw", "sumw2", "entries")]
+    moved = parsed.where("source <> ''").select("base", *cell, "source", F.col("sumw").alias("part"))
+    nominal = parsed.where("source = ''").select("base", *cell, (-F.col("sumw")).alias("part"))
+    sides = moved.unionByName(nominal.join(moved.select("base", "source").distinct(), "base"))
+    return sides.groupBy("base", *cell, "source").agg(F.sum("part").alias("shift")).select(F.col("base").alias("path"), "bx", "source", "shift")

@@ -113,6 +113,17 @@ def test_fan_out_is_separate_runs(spark):
     assert got == sorted([("", 1), ("", 2), ("", 3), ("channel/big/", 2), ("channel/big/", 3), ("systematic/up/", 2), ("systematic/up/", 4), ("systematic/up/", 6), ("systematic/up/channel/big/", 2), ("systematic/up/channel/big/", 4), ("systematic/up/channel/big/", 6)])
 
 
+def test_an_emptied_bin_is_a_shift(spark):
+    rows = variants.fan_out(numbers(spark, [0.5, 1.5, 1.5]), None, {"up": {"x": F.col("x") + 1}, "same": {"x": F.col("x") + 0}})
+    cells = Store(F.col("variant")).h1("a", Axis(3, 0, 3), F.col("x")).run(rows)
+    alone = Store().h1("b", Axis(3, 0, 3), F.col("x")).run(numbers(spark, [0.5]))
+    shifts = variants.shifted(cells.unionByName(alone))
+    want = [("a", 1, "same", 0.0), ("a", 1, "up", -1.0), ("a", 2, "same", 0.0), ("a", 2, "up", -1.0), ("a", 3, "up", 2.0)]
+    assert sorted(map(tuple, shifts.collect())) == want
+    errors = results.systematic_error(shifts, ["path", "bx"])
+    assert sorted(map(tuple, errors.collect())) == [("a", 1, 1.0), ("a", 2, 1.0), ("a", 3, 2.0)]
+
+
 def test_skim_is_once(spark):
     events = spark.createDataFrame([(i, float(i)) for i in range(4)], "k int, x double")
     rows = variants.fan_out(events, None, {"up": {"x": F.col("x") + 2}})
