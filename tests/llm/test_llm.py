@@ -369,6 +369,12 @@ def test_private_keys_are_whole_and_differ(spark):
     assert secret_scan.digest(secret_scan.secrets(docs)).where("doc_id = 0").first().spans == f"private_key:5:{5 + len(key_block(own[0]))}"
 
 
+def test_many_repositories_are_copies(spark):
+    rows = [(i, "a xoxb-9999999999-zzz", f"l{i}", "s0", None) for i in range(10)] + [(100 + i, "b xoxb-8888888888-zzz", f"l{i % 9}", "s0", None) for i in range(20)]
+    found = secret_scan.digest(secret_scan.secrets(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert {(r.doc_id < 100, r.spans) for r in found} == {(True, ""), (False, "chat_token:2:21")}
+
+
 def test_url_rules(spark):
     urls = [None, "", "no host", "HTTP://A.Example.ORG/es/1?x#y", "x://example.org/en/12", "x://example.org/en/2", "http://notexample.org/es/", "http://b.com/fr/1", "http://b.com/de/", "http://com/de/?q", "http://net", "a://b.org", "http://b.com/en/9"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://b.com/de/7")], "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "pages": F.lit(3)})
