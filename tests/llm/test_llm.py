@@ -375,6 +375,13 @@ def test_many_repositories_are_copies(spark):
     assert {(r.doc_id < 100, r.spans) for r in found} == {(True, ""), (False, "chat_token:2:21")}
 
 
+def test_long_url_passwords(spark):
+    texts = ["see https://me:" + "p" * n + "@host.example/x" for n in (80, 81, 5000)] + ["see ftp://" + "u" * 200 + ":pw@h", "see http://a:b/c@d http://" + "x" * 100_000]
+    docs = spark.createDataFrame([(i, t, "en", "s0", None) for i, t in enumerate(texts)], SCHEMA)
+    out = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert [out[i] for i in range(5)] == ["see [secret]host.example/x"] * 3 + ["see [secret]h", texts[4]]
+
+
 def test_url_rules(spark):
     urls = [None, "", "no host", "HTTP://A.Example.ORG/es/1?x#y", "x://example.org/en/12", "x://example.org/en/2", "http://notexample.org/es/", "http://b.com/fr/1", "http://b.com/de/", "http://com/de/?q", "http://net", "a://b.org", "http://b.com/en/9"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://b.com/de/7")], "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "pages": F.lit(3)})
