@@ -16,7 +16,8 @@ Every step is keyed by bucket, pair or document, and hot buckets are cut into bl
 task holds a bucket whole.
 
 Defined results: a null or white text has an empty set and is linked with nothing; a row with
-a null id is returned unlinked, component null, kept; rows that repeat an id are one node.
+a null id is returned unlinked, component null, kept; rows that repeat an id with one set are one
+node, those that repeat it with different sets are nodes of their own.
 """
 
 from __future__ import annotations
@@ -245,13 +246,54 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("id", "component")
 
 
+def _clashing_ids(base: DataFrame) -> DataFrame | None:
+    """(clash): the ids that have rows of different sets; None if there are none."""
+    own = ("f1", "f2", "n_shingles")
+    ids = base.where("doc_id is not null").groupBy(F.col("doc_id").alias("clash")).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in own for f in (F.min, F.max)])
+    clash = save(ids.where(" or ".join(f"min_{c} <> max_{c}" for c in own)).select("clash"), "clash")
+    return None if clash.isEmpty() else clash
+
+
+def _rows(docs: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """(row, node): a row's node is its id, or a hash of id and text where the id clashes."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("node"))
+    if clash is None:
+        return row
+    few = clash.count() <= BROADCAST
+    known = row.join(F.broadcast(clash) if few else clash, F.col("node") == F.col("clash"), "left")
+    return known.select("row", F.when(F.col("clash").isNotNull(), F.xxhash64("node", "row.text")).otherwise(F.col("node")).alias("node"))
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, id, n_shingles, part, component) of each row of ``docs``, and the ids that clash: part
+    is the least node of its component, component the least id."""
+    base = save(sketches(docs, size), "sketches")
+    clash = _clashing_ids(base)
+    if clash is None:
+        return _linked(docs, base, size, percent).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("id"), "n_shingles", "part", F.col("part").alias("component")), None
+    rows = _rows(docs, clash)
+    nodes = rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text"))
+    placed = save(_linked(nodes, save(sketches(nodes, size), "sketches"), size, percent), "placed")
+    own = rows.select(F.col("node").alias("doc_id"), F.col("row.doc_id").cast("long").alias("own")).where("doc_id <> own").distinct()
+    placed = placed.join(own, "doc_id", "left").withColumn("id", F.coalesce("own", "doc_id"))
+    least = placed.where("id is not null").groupBy("part").agg(F.min("id").alias("component"))
+    return save(placed.join(least, "part", "left").select(F.col("doc_id").alias("node"), "id", "n_shingles", "part", "component"), "placed"), clash
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
     Documents with ``100 * intersection >= percent * union`` of their ``size``-word shingle
     sets (ASCII letters lower-cased) are linked; a component's smallest id is kept."""
+    placed, _ = _placed(docs, size, percent)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return placed.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def _linked(docs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and part (the least id of its component) of each row of ``base``, the
+    sketches of ``docs``, in which an id has one set."""
     least = S.floor_for(percent / 100)
-    base = save(sketches(docs, size), "sketches")
     alike = save(
         base.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "alike"
     )
@@ -278,24 +320,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = components(links)
     of_set = alike.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
     placed = base.drop("registers").join(of_set, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
-    return placed.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns. Of rows that repeat a kept id,
-    one stays: the first by the hash of its text."""
-    found = near_duplicates(docs, size, percent)
-    gone = save(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    """The rows of ``docs`` that are kept, with their own columns: of each component the one with
+    the smallest id. Of rows that repeat a kept id with one set, one stays: the first by the hash
+    of its text. Rows of one id whose sets aren't linked are judged each."""
+    placed, clash = _placed(docs, size, percent)
+    if clash is None:
+        gone = placed.where("id <> component").select(F.col("node").alias("gone"))
+    else:
+        first = placed.where("node is not null").groupBy("part").agg(F.min(F.struct("id", "node")).alias("first"))
+        gone = placed.join(first, "part").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("gone"))
+    gone = save(gone.distinct(), "gone")
     few = gone.count() <= BROADCAST
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
-    twice = save(docs.groupBy(docs["doc_id"].cast("long").alias("twice")).agg(F.count("*").alias("n")).where("n > 1 and twice is not null"), "twice")
+    every = _rows(docs, clash)
+    left = every.join(F.broadcast(gone) if few else gone, F.col("node") == F.col("gone"), "left_anti")
+    twice = save(every.groupBy(F.col("node").alias("twice")).agg(F.count("*").alias("n")).where("n > 1 and twice is not null"), "twice")
     if twice.isEmpty():
-        return left
-    names = docs.columns
-    row = left.select(F.struct(*[left[c] for c in names]).alias("row"), left["doc_id"].cast("long").alias("key"), F.monotonically_increasing_id().alias("nth"))
+        return left.select("row.*")
+    row = left.select("row", F.col("node").alias("key"), F.monotonically_increasing_id().alias("nth"))
     # written, as it is read twice and a row's number must be the same both times
     often = save(row.join(twice, F.col("key") == F.col("twice"), "left_semi"), "often")
     first = often.groupBy("key").agg(F.min(F.struct(F.xxhash64("row.text").alias("h"), "nth")).alias("least"))

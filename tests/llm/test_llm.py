@@ -100,6 +100,20 @@ def test_repeated_ids_are_one_node(spark):
     assert sorted(r.doc_id for r in near_dup.deduplicated(docs).collect()) == [1, 2]
 
 
+def test_a_repeated_id_with_two_texts_is_two_nodes(spark):
+    a, b, c = (words_of(100, 70 + i) for i in range(3))
+    near = lambda w, k: " ".join([*w[:-k], *["changed"] * k])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a, 1)), (7, near(b, 1)), (3, near(c, 1)), (8, " ".join(c)), (8, near(a, 2)), (9, near(b, 3)), (9, near(b, 4)), (2, "x y z u v"), (2, ""), (2, None), (None, near(a, 1))]
+    docs = spark.createDataFrame([(i, t, "", "", None) for i, t in rows], SCHEMA).withColumn("row", F.lit(1)).repartition(5)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == Counter([(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (3, 3, True), (8, 3, False), (8, 5, False), (9, 5, False), (9, 5, False), *[(2, 2, True)] * 3])
+    kept = near_dup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[k] for k in (0, 1, 4, 9, 10, 11, 12)])
+    linked = spark.createDataFrame([(1, near(a, k), "", "", None) for k in (1, 2)] + [(4, "k l m n o p", "", "", None)], SCHEMA)
+    assert sorted(r.doc_id for r in near_dup.deduplicated(linked).collect()) == [1, 4]
+
+
 @pytest.mark.parametrize(("size", "shared"), [(300, 240), (40, 36), (2000, 1000)])
 def test_estimates(size, shared):
     rng = np.random.RandomState(1)
