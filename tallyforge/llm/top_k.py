@@ -7,9 +7,9 @@ for each candidate of the block, and a partition selection leaves the k best (ti
 id). The k best of all blocks are merged by a ranking that keeps k rows of each query in each
 task first. A group holds QUERIES + CANDIDATES rows, whatever the table's size.
 
-Defined results: vectors that are null, or have a null or non-finite component, or one whose
-whole part of 256 x is beyond 2**31, take no part, nor do rows with a null id. Vectors may
-differ in length; missing components count as 0. Rows that repeat a query's id are one query
+Defined results: vectors that are null, or have a null or non-finite component, or one of which
+256 x is beyond a long, take no part, nor do rows with a null id. A pair whose score is beyond a
+long is no result. Vectors may differ in length; missing components count as 0. Rows that repeat a query's id are one query
 (the smallest vector of that id); candidates that repeat an id are ranked each.
 """
 
@@ -26,7 +26,7 @@ QUERIES, CANDIDATES = 4096, 2048
 def quantised(vector: Column) -> Column:
     """floor(256 x) of each component as long; null where the vector takes no part."""
     wide = F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double")))
-    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 2.0**23))
+    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 2.0**55))
     return F.when(vector.isNotNull() & usable, wide)
 
 
@@ -50,18 +50,25 @@ def best_in_block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     whole = [edge[t + 1] - edge[t] == len(ids) for t in range(len(edge) - 1)]
     q_row, q_term, q_weight = _lists(queries.column("vector"))
     q_edge = np.searchsorted(q_row, np.arange(len(query_ids) + 1))
-    scores, out = np.zeros(len(ids), np.int64), []
+    most = max(-float(weight.min()), float(weight.max())) if len(weight) else 0.0
+    narrow, out = np.zeros(len(ids), np.int64), []
     for q in range(len(query_ids)):
+        mine = slice(q_edge[q], q_edge[q + 1])
+        # where a sum may leave a long, it is taken in whole numbers of any size
+        wide = most * float(np.abs(q_weight[mine].astype(float)).sum()) >= 2.0**62
+        scores, q_own, own_weight = (np.zeros(len(ids), object), q_weight[mine].astype(object), weight.astype(object)) if wide else (narrow, q_weight[mine], weight)
         scores[:] = 0
-        for at in range(q_edge[q], q_edge[q + 1]):
-            t, w = q_term[at], q_weight[at]
+        for t, w in zip(q_term[mine], q_own, strict=True):
             if w and t < len(whole):
                 own = slice(edge[t], edge[t + 1])
                 if whole[t]:
-                    scores += w * weight[own]
+                    scores += w * own_weight[own]
                 else:
-                    scores[row[own]] += w * weight[own]
+                    scores[row[own]] += w * own_weight[own]
         there = np.flatnonzero(ids != query_ids[q])
+        if wide:
+            fits = np.array([-(2**63) <= x < 2**63 for x in scores], bool)
+            there, scores = there[fits[there]], np.where(fits, scores, 0).astype(np.int64)
         if len(there) > k:
             least = np.partition(scores[there], len(there) - k)[len(there) - k]
             sure = there[scores[there] > least]

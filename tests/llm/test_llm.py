@@ -433,6 +433,19 @@ def test_top_k(spark):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    big = float(2**23)
+    rows = [(0, [big, 1.0]), (1, [big, 2.0]), (2, [-big, 0.0]), (3, [2.0**54, -1.0]), (4, [1.0, 3.0]), (5, [2.0**55, 0.0]), (6, [0.0, 2.0**40]), (50, [2.0**50, 2.0**50])]
+    got = [tuple(r) for r in top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()]
+    ints = {i: [int(256 * x) for x in v] for i, v in rows if i != 5}
+    want = []
+    for q in (0, 50):
+        scores = {i: sum(a * b for a, b in zip(ints[q], v, strict=True)) for i, v in ints.items() if i != q}
+        best = sorted((-s, i) for i, s in scores.items() if -(2**63) <= s < 2**63)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(got) == want and any(i == 1 for _, _, i, _ in got)
+
+
 def test_every_operator_has_its_query():
     from tallyforge.llm import queries
 
