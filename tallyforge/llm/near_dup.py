@@ -3,17 +3,20 @@ by likelihood, then verified on full sets.
 
 1. ``sketches``: one pass over the texts gives each document's set size, a 128-bit
    fingerprint of its set and its registers; written once to the shared folder.
-2. Documents of one fingerprint have equal sets; the smallest id stands for them.
+2. Documents of one fingerprint have equal sets (two other sets share one with a probability of
+   about 2**-128); the smallest id stands for them.
 3. Bands of registers put representatives into buckets. Buckets of one are dropped.
-4. First round: each bucket's smallest id against its other members (as many pairs as
-   members). Second round: whatever in a bucket isn't yet in the same component is compared
-   by registers and then by sets of 32-bit hashes, in blocks of bounded size dealt over the
-   cluster; only pairs that pass leave a block, so no bucket's pairs are ever emitted.
+4. First round: a bucket's members are paired as a tree, each with the smallest id of its block of
+   ``BLOCK`` members, those with the smallest of their block, and so on: as many pairs as members,
+   and no id in more than ``BLOCK`` of a bucket's at each level. Second round: whatever in a bucket
+   isn't yet in the same component is compared by registers and then by sets of 32-bit hashes,
+   in blocks of bounded size dealt over the cluster; a bucket's largest component isn't
+   compared with itself. Only pairs that pass leave a block, so no bucket's pairs are ever emitted.
 5. Pairs are confirmed on full sets of 64-bit shingle hashes.
-6. Connected components by repeated minimum over links and pointer jumps.
+6. Connected components by hooking each node to its smallest neighbour and contracting.
 
-Every step is keyed by bucket, pair or document, and hot buckets are cut into blocks, so no
-task holds a bucket whole.
+Every step is keyed by bucket, pair or document. Joins on a key that a large part of the rows may
+hold (a bucket, a set, a component) broadcast its few hot keys (see ``skew``).
 
 Defined results: a null or white text has an empty set and is linked with nothing; a row with
 a null id is returned unlinked, component null, kept; rows that repeat an id with one set are one
@@ -30,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch as S
-from .shared import save
+from .shared import in_python, save
+from .skew import heaviest, join_keys
 from .words import U64, chunks, give_back, hashes, mix, split
 
 BLOCK = 256
@@ -99,7 +103,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 ["doc_id", "n_shingles", "f1", "f2", "registers"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, registers binary")
+    return in_python(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, f1 long, f2 long, registers binary")
 
 
 def _registers(column) -> np.ndarray:
@@ -122,7 +126,7 @@ def _memberships(reps: DataFrame) -> DataFrame:
                 bands = np.tile(np.arange(S.BANDS, dtype=np.int32), len(own))
                 yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids[i : i + 1000], S.BANDS)), pa.array(bands)], ["key", "id", "band"])
 
-    return reps.select("id", "registers").mapInArrow(run, "key long, id long, band int")
+    return in_python(reps.select("id", "registers"), run, "key long, id long, band int")
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -135,29 +139,52 @@ def _estimated(pairs: DataFrame, least: float) -> DataFrame:
                 keep = pa.array(got >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return in_python(pairs.select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
+
+
+def _tree_pairs(members: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs that join each bucket of ``members`` (key, id, count, first) into a tree, of which
+    the largest bucket has ``most``."""
+    pairs = members.where(f"count <= {BLOCK} and id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    level = members.where(f"count > {BLOCK}").select("key", "id", "count")
+    most = most if most > BLOCK else 1
+    while most > 1:
+        blocks = F.ceil(F.col("count") / BLOCK)
+        dealt = level.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id", "key"), blocks)})
+        heads = save(dealt.groupBy("key", "block", "blocks").agg(F.min("id").alias("head")), "heads")
+        pairs = pairs.union(dealt.join(heads.drop("blocks"), ["key", "block"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+        level, most = heads.select("key", F.col("head").alias("id"), F.col("blocks").alias("count")), -(-most // BLOCK)
+    return pairs.distinct()
 
 
 def _block_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """Likely links (a, b) across hubs, from members (key, band, count, id, hub, n, registers,
-    set). A bucket of c members has ceil(c / BLOCK) blocks by a hash of the id, and each pair of
-    blocks is a group of its own. A pair is looked at in the first band that it shares; if its
-    estimate passes, its sets of 32-bit hashes decide whether it leaves the block."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
-    ).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    """Likely links (a, b) across hubs, from members (key, band, id, hub, n, registers, set, all, main,
+    of_main): ``main`` is the hub most of the bucket's members belong to, ``of_main`` how many.
+
+    The members of ``main`` and the others are dealt into blocks of about ``BLOCK`` by a hash of the
+    id. Each block of others meets each block of either kind in a group of its own. A pair is looked
+    at in the first band that it shares; if its estimate passes, its sets of 32-bit hashes decide
+    whether it leaves the block."""
+    in_main = F.col("hub") == F.col("main")
+    mains, others = F.ceil(F.col("of_main") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("of_main")) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", "key"), F.when(in_main, mains).otherwise(others)).cast("int")
+    place = lambda main, i, j, left, right: F.struct(main.alias("main"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, me = F.lit(True), F.lit(False), F.col("own")
+    to_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: place(yes, k, me, no, yes))
+    from_others = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: place(yes, me, k, yes, no)),
+        F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: place(no, F.least(k, me), F.greatest(k, me), me <= k, me >= k)),
+    )
+    dealt = members.withColumns({"mains": mains, "others": others, "own": own}).withColumn("place", F.explode(F.when(in_main, to_others).otherwise(from_others)))
 
     def run(table: pa.Table) -> pa.Table:
         ids, hubs, sizes = (table.column(c).to_numpy() for c in ("id", "hub", "n"))
-        own, registers = table.column("own").to_numpy(), _registers(table.column("registers"))
-        i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
+        registers, band = _registers(table.column("registers")), table.column("band")[0].as_py()
+        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        itself = len(left) == len(right) and (left == right).all()
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left:
-            there = right[(hubs[right] != hubs[x]) & ((ids[right] > ids[x]) | (i != j))]
+            there = right[(hubs[right] != hubs[x]) & ((ids[right] > ids[x]) | (not itself))]
             there = there[np.minimum(sizes[x], sizes[there]) >= least * np.maximum(sizes[x], sizes[there])]
             if len(there):
                 there = there[(registers[there] == registers[x]).mean(axis=1) >= least - 0.15]
@@ -181,7 +208,8 @@ def _block_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
         x, y = ids[x[near]], ids[y[near]]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return dealt.select("key", "i", "j", "own", "band", "id", "hub", "n", "registers", "set").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    group = dealt.select("key", "place.main", "place.i", "place.j", "place.left", "place.right", "band", "id", "hub", "n", "registers", "set")
+    return group.groupBy("key", "main", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
@@ -204,7 +232,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, size: int, bits: int = 64) -> Data
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return save(texts.mapInArrow(whole, "id long, set binary"), "sets")
+    return save(in_python(texts, whole, "id long, set binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -223,27 +251,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return in_python(joined.select("a", "b", "sa", "sb"), test, "a long, b long")
+
+
+def _followed(labels: DataFrame, others: DataFrame) -> DataFrame | None:
+    """``labels`` (id, root, ...) with each root replaced by its own root in ``others``; None if that
+    changes nothing."""
+    seen = labels.groupBy("root").agg(F.count("*").alias("held"))
+    moved = seen.join(others.where("id <> root").select(F.col("id").alias("root"), F.col("root").alias("to")), "root")
+    if moved.isEmpty():
+        return None
+    out = join_keys(labels, save(moved, "moved"), ["root"], "held", "left")
+    return out.select(*[F.coalesce("to", c).alias(c) if c == "root" else c for c in labels.columns])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for ids with an edge.
 
-    Each round a node takes the least label among its own and its neighbours' labels and then
-    that label's own label, so chains shorten geometrically. Rounds go through the shared
-    folder, and end when no label changes."""
-    both = save(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = save(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "id").select("id", F.least("component", "near").alias("step"), F.col("component").alias("before"))
-        jump = labels.select(F.col("id").alias("step"), F.col("component").alias("far"))
-        after = save(
-            stepped.join(jump, "step", "left").select("id", F.least("step", "far").alias("component"), "before"), "labels"
-        )
-        if after.where("component < before").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", "component")
+    In each round every node hooks to its smallest neighbour if that is smaller, pointers are doubled
+    until all lead to roots, and edges are contracted to roots. A root that nothing hooked to has a
+    neighbour that hooked to something smaller, so it hooks in the next round: two rounds leave at
+    most half of the nodes, and each doubles pointers as often as the logarithm of its deepest tree.
+    A chain in order is one round. ``edges`` is read several times; tables of each round go through
+    the shared folder."""
+    edge, found = edges.select("a", "b").where("a <> b"), None
+    while found is None or not edge.isEmpty():
+        both = edge.union(edge.select("b", "a"))
+        labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"), F.count("*").alias("links"))
+        labels = save(labels.withColumn("root", F.least("id", "root")), "labels")
+        while (further := _followed(labels, labels)) is not None:
+            labels = save(further, "labels")
+        if found is None:
+            found = labels.drop("links")
+        else:
+            moved = _followed(found, labels)
+            found = found if moved is None else save(moved, "found")
+        top = heaviest(labels, "links")
+        for end in ("a", "b"):
+            edge = join_keys(edge, labels.select(F.col("id").alias(end), F.col("root").alias(f"to_{end}"), "links"), [end], "links", top=top).drop("links")
+        edge = save(edge.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "edges")
+    return found.withColumnRenamed("root", "component")
 
 
 def _clashing_ids(base: DataFrame) -> DataFrame | None:
@@ -294,33 +341,45 @@ def _linked(docs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFr
     """doc_id, n_shingles and part (the least id of its component) of each row of ``base``, the
     sketches of ``docs``, in which an id has one set."""
     least = S.floor_for(percent / 100)
-    alike = save(
-        base.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "alike"
-    )
-    known = base.join(alike, ["f1", "f2", "n_shingles"])
-    reps = known.where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "registers").dropDuplicates(["id"])
-    reps = save(reps, "reps")
-
-    member = _memberships(reps)
-    buckets = member.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("count")).where("count > 1")
-    members = save(member.join(buckets.hint("merge"), "key"), "members")
-    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    own = ["f1", "f2", "n_shingles"]
+    # equal sets have equal registers, so any of them will do
+    sets = base.where("n_shingles > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("registers").alias("registers"))
+    sets = save(sets, "alike")
+    reps = sets.select("id", F.col("n_shingles").alias("n"), "registers")
+
+    member = save(_memberships(reps), "memberships")
+    buckets = save(member.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("count")).where("count > 1"), "buckets")
+    top = heaviest(buckets, "count")
+    if not top[0]:
+        return base.select("doc_id", "n_shingles", F.col("doc_id").alias("part")) if sets.where("rows > 1").isEmpty() else _by_set(base, sets, None)
+    members = save(join_keys(member, buckets, ["key"], "count", top=top), "members")
+    stars = _tree_pairs(members, top[0])
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
     likely = save(_estimated(stars.join(side("a"), "a").join(side("b"), "b"), least), "stars")
     stars = save(_verified(likely, docs, size, percent), "links")
 
     hubs = components(stars).withColumnRenamed("component", "hub")
-    labelled = members.join(hubs, "id", "left").select("key", "band", "id", "count", F.coalesce("hub", "id").alias("hub"))
-    open_keys = labelled.groupBy("key").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).where("lo <> hi").select("key")
-    rest = save(labelled.join(open_keys, "key"), "rest")
+    labelled = save(members.join(hubs, "id", "left").select("key", "band", "id", F.coalesce("hub", "id").alias("hub")), "labelled")
+    by_hub = labelled.groupBy("key", "hub").agg(F.count("*").alias("n"))
+    several = by_hub.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("of_main"), F.max_by("hub", "n").alias("main")).where("all > of_main")
+    several = save(several, "several")
+    top = heaviest(several, "all")
+    if not top[0]:
+        return _by_set(base, sets, hubs.withColumnRenamed("hub", "component"))
+    rest = save(join_keys(labelled, several, ["key"], "all", top=top), "rest")
     low = _sets_of(rest.select("id"), docs, size, bits=32)
-    found = _block_pairs(rest.join(reps, "id").join(low.dropDuplicates(["id"]), "id"), least, percent)
-    links = stars.union(_verified(save(found, "pairs"), docs, size, percent))
-
-    found = components(links)
-    of_set = alike.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    placed = base.drop("registers").join(of_set, ["f1", "f2", "n_shingles"], "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
+    pairs = save(_block_pairs(rest.join(reps, "id").join(low.dropDuplicates(["id"]), "id"), least, percent), "pairs")
+    more = save(_verified(pairs, docs, size, percent), "links")
+    return _by_set(base, sets, hubs.withColumnRenamed("hub", "component") if more.isEmpty() else components(stars.union(more)))
+
+
+def _by_set(base: DataFrame, sets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """doc_id, n_shingles and part of each row of ``base``: the component in ``found`` (id, component)
+    of the document that stands for its set."""
+    own = ["f1", "f2", "n_shingles"]
+    part = sets.select(*own, "rows", F.col("id").alias("component")) if found is None else sets.join(found, "id", "left").select(*own, "rows", F.coalesce("component", "id").alias("component"))
+    placed = join_keys(base.drop("registers"), save(part, "of-set"), own, "rows", "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("part"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

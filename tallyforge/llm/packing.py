@@ -1,39 +1,45 @@
 """Best-fit packing of token sequences by minimum bin slack.
 
 Bins depend on nothing but how many pieces there are of each length, so packing works on that
-table of at most ``size`` rows, whatever the number of documents: the longest length left opens
-a bin, a bitset subset-sum over the lengths left finds the fullest combination that fits
-beside it, and that combination is taken out as often as its lengths last. Each combination
-uses some length up to less than its own share, so there are few of them.
-
-Pieces are numbered within their length (by written part, then place), and that number says
-which bin and which place a piece gets: both tables it takes are small, so no ids are shuffled. One pass encodes; its pieces go to the shared folder, and
-numbers come from that table, so they don't change if a task runs again.
+table of at most ``size`` rows: the longest length left opens a bin, a bitset subset-sum over the
+lengths left finds the fullest combination that fits beside it, and that combination is taken
+out as often as its lengths last. Each combination uses some length up to less than its own
+share, so there are few of them.
+
+Each task packs its own part of the documents, a window of about ``WINDOW`` ids at a time. Bins that
+are full go out, with all their pieces; the pieces of the others stay for the next window, and the
+last window's bins all go out. So nothing is shuffled, broadcast or written in between, a task
+holds a window whatever the size of its part. A part ends with a few bins that aren't full, about
+5 to 10 of them, where packing all documents at once would end with as many in all. A task that runs again gives the
+same rows, and its bins are numbered within its part.
 
 A document of more than ``size`` ids is cut into pieces of ``size``, the remainder first.
 
-Defined results: a null or empty text is the end id alone; rows that repeat are packed each.
+Defined results: a null or empty text is the end id alone; a null id stays null; rows that repeat
+are packed each; a very long text is a window by itself.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import in_python
 from .tokens import encoder
 from .words import give_back
 
 END_ID = 2
 SIZE = 1024
-BROADCAST = 2_000_000
-#: rows that a worker has as Python texts at a time
-ROWS = 1000
+#: ids that a task packs at a time
+WINDOW = 1 << 23
+#: ids of a batch that a task gives out
+BATCH = 1 << 20
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -85,63 +91,105 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     return rows
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, part and nth (number within part and length)."""
+def placed(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each piece, and its place there."""
+    order = np.argsort(lengths, kind="stable")
+    counts = np.bincount(lengths, minlength=size + 1)
+    begins = np.cumsum(counts) - counts
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    for n, first, last, bin_, each, place in plan({int(n): int(counts[n]) for n in np.flatnonzero(counts)}, size):
+        own, k = order[begins[n] + first : begins[n] + last], np.arange(last - first)
+        bins[own], offsets[own] = bin_ + k // each, place + k % each * n
+    return bins, offsets
+
+
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_WIDE = ["doc", "no_doc", "piece", "start", "length", "crc", "run", "at"]
+
+
+class _Window:
+    """Pieces that have no bin yet, and the ids they were cut from."""
+
+    def __init__(self, part: int, size: int, with_ids: bool):
+        self.size, self.with_ids, self.next = size, with_ids, part << 40
+        self.columns, self.runs, self.ids = [np.zeros(0, np.int64)] * len(_WIDE), [], 0
+
+    def add(self, doc: np.ndarray, no_doc: np.ndarray, ids: np.ndarray, counts: np.ndarray, end_id: int) -> None:
+        """A run of documents: their ids in a row, without end ids, and how many each has."""
+        whole, size = counts + 1, self.size
+        stop = np.cumsum(whole)
+        own = np.empty(int(stop[-1]), "<u4")
+        own[stop - 1] = end_id
+        inner = np.ones(len(own), bool)
+        inner[stop - 1] = False
+        own[inner] = ids
+        pieces = -(-whole // size)
+        row = np.repeat(np.arange(len(counts)), pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = whole - (pieces - 1) * size
+        start = np.where(piece == 0, 0, first[row] + (piece - 1) * size)
+        length = np.where(piece == 0, first[row], size)
+        at, view = (stop - whole)[row] + start, memoryview(own).cast("B")
+        crc = np.fromiter((zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(at))
+        new = [doc[row], no_doc[row].astype(np.int64), piece, start, length, crc, np.full(len(row), len(self.runs)), at]
+        self.columns = [np.concatenate(c) for c in zip(self.columns, new, strict=True)]
+        self.runs.append(own if self.with_ids else None)
+        self.ids += len(own)
+
+    def packed(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """The rows of full bins, and of all if ``last`` or if the others are too many to stay."""
+        length = self.columns[4]
+        if not len(length):
+            return
+        bins, offsets = placed(length, self.size)
+        full = (np.bincount(bins, weights=length) == self.size)[bins]
+        if last or 2 * int(length[~full].sum()) > self.ids:
+            full[:] = True
+        out = [c[full] for c in self.columns]
+        _, number = np.unique(bins[full], return_inverse=True)
+        yield from self._rows(out, self.next + number, offsets[full])
+        self.next += int(number.max()) + 1 if len(number) else 0
+        self._keep([c[~full] for c in self.columns])
+
+    def _keep(self, columns: list[np.ndarray]) -> None:
+        self.columns, self.ids = columns, int(columns[4].sum())
+        if self.with_ids and len(columns[0]):
+            own = self._ids_of(columns)
+            self.runs = [own]
+            self.columns[6], self.columns[7] = np.zeros(len(columns[6]), np.int64), np.cumsum(columns[4]) - columns[4]
+        else:
+            self.runs = []
+            self.columns[6] = np.zeros(len(columns[6]), np.int64)
+
+    def _ids_of(self, columns: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self.runs[r][a : a + n] for n, r, a in zip(*(columns[i].tolist() for i in (4, 6, 7)), strict=True)])
+
+    def _rows(self, columns: list[np.ndarray], sequence: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.cumsum(columns[4])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(BATCH, int(total[-1]) if len(total) else 0, BATCH)), [len(total)]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = [c[a:b] for c in columns]
+            arrays = [pa.array(own[0], pa.int64(), mask=own[1] != 0), pa.array(own[2], pa.int32()), *(pa.array(own[i]) for i in (3, 4, 5))]
+            if self.with_ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own[4])]), pa.int32()), pa.array(self._ids_of(own).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sequence[a:b]), pa.array(offset[a:b])], [*NAMES, *["ids"] * self.with_ids, "sequence_id", "offset"])
+
+
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False, window: int = WINDOW) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece (and its ids)."""
 
     def run(batches):
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        seen = np.zeros(size + 1, np.int64)
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for first, ids, counts in enc.encode(texts):
-                at, rows, kept = 0, [], []
-                ids = ids.astype("<u4")
-                for k, n in enumerate(counts.tolist()):
-                    own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                    at += n
-                    begin, piece, length = 0, 0, (n + 1) % size or size
-                    while begin < n + 1:
-                        cut = own[begin : begin + length]
-                        rows.append((doc_ids[first + k], piece, begin, length, zlib.crc32(cut), part, seen[length]))
-                        if with_ids:
-                            kept.append(cut)
-                        seen[length] += 1
-                        begin, piece, length = begin + length, piece + 1, size
-                if rows:
-                    columns = [pa.array(c, pa.int32() if i in (1, 5) else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
-                    if with_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept).astype(np.int32))))
-                    yield pa.RecordBatch.from_arrays(columns, NAMES + ["ids"] * with_ids)
+        enc, held = encoder(tokenizer), _Window(TaskContext.get().partitionId(), size, with_ids)
+        for batch in batches:
+            doc = batch.column("doc_id")
+            no_doc, doc = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+            for first, ids, counts in enc.encode(batch.column("text").to_pylist()):
+                own = slice(first, first + len(counts))
+                held.add(doc[own], no_doc[own], ids, counts, end_id)
+                if held.ids >= window:
+                    yield from held.packed(False)
+        yield from held.packed(True)
         give_back()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
-
-
-NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-
-
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece (and its ids)."""
-    cut = save(pieces(docs, tokenizer, size, end_id, with_ids), "pieces")
-    each = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows = sorted(plan(counts, size))
-    # where each part's pieces of a length begin: a running sum over parts, dealt by length
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = each.select("length", "part", before.alias("before"))
-    # at most `size` rows for each written part
-    few = each.count() <= BROADCAST
-    numbered = cut.join(F.broadcast(parts) if few else parts, ["length", "part"]).withColumn("number", F.col("before") + F.col("nth"))
-    spark = docs.sparkSession
-    by_length = spark.createDataFrame([(n, [tuple(r[1:]) for r in rows if r[0] == n]) for n in sorted({r[0] for r in rows})], f"length long, runs array<{RUN}>")
-    # the last run of the piece's length that begins at its number or before
-    run = F.element_at(F.filter("runs", lambda r: r["from"] <= F.col("number")), -1)
-    placed = numbered.join(F.broadcast(by_length), "length").withColumn("run", run).withColumn("k", F.col("number") - F.col("run.from"))
-    sequence = F.col("run.first") + F.floor(F.col("k") / F.col("run.each"))
-    offset = F.col("run.place") + F.pmod("k", F.col("run.each")) * F.col("length")
-    return placed.select(*NAMES[:5], *["ids"] * with_ids, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
-
-
-#: one row of ``plan`` without its length
-RUN = "struct<from:long,to:long,first:long,each:long,place:long>"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
+    return in_python(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, schema)

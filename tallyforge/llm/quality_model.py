@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_python
 from .words import U64, chunks, give_back, hashes, mix, split
 
 BITS = 17
@@ -184,19 +185,22 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 yield pa.RecordBatch.from_arrays([*part, rows], ["doc_id", "quality", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, quality int, ids array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = in_python(texts, run, "doc_id long, quality int, ids array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     ids = rows.column("ids").combine_chunks() if rows.num_rows else []
     return fit([np.asarray(ids[i].values, np.int32) for i in range(len(ids))], rows.column("quality").to_numpy())
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text: int, fields: list[str]):
+    """For rows that are one struct ``row``, whose field number ``text`` is the text: either its
+    ``fields`` or, without any, the row itself, and the score."""
+
     def run(batches):
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for a, ids, at in features(batch.column("text").to_pylist()):
+            row, score = batch.column("row"), np.zeros(batch.num_rows)
+            for a, ids, at in features(row.field(text).to_pylist()):
                 score[a : a + len(at) - 1] = model.score(ids, at)
-            rest = batch.schema.names[1:]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score)], [*rest, "score"])
+            rest = [row.field(row.type.get_field_index(c)) for c in fields] or [row]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(score)], [*(fields or ["row"]), "score"])
         give_back()
 
     return run
@@ -204,11 +208,13 @@ def _scorer(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``."""
-    out = docs.selectExpr("text", "cast(doc_id as long) doc_id").mapInArrow(_scorer(model), "doc_id long, score double")
+    row = docs.select(F.struct("text", F.col("doc_id").cast("long").alias("doc_id")).alias("row"))
+    out = in_python(row, _scorer(model, 0, ["doc_id"]), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model takes for good ones, with their own columns."""
-    row = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return row.mapInArrow(_scorer(model), f"row {row.schema['row'].dataType.simpleString()}, score double").where(F.col("score") >= CUTOFF).select("row.*")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    scored = in_python(row, _scorer(model, docs.columns.index("text"), []), f"row {row.schema['row'].dataType.simpleString()}, score double")
+    return scored.where(F.col("score") >= CUTOFF).select("row.*")

@@ -22,7 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .shared import in_python
 from .words import U64, chunks, give_back, hashes, mix, split
 
 MIN_REPEAT = 8
@@ -139,9 +141,12 @@ def _sums(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def measure(batches: Iterator[pa.RecordBatch], text: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows are one struct ``row``, whose field number ``text`` is the text. It stays beside the
+    measures if ``whole``, else its doc_id does."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        row = batch.column("row")
+        texts = row.field(text).to_pylist()
         for a, b, raw, offsets in chunks(texts, 1 << 20):
             data, start, end, first = split(raw, offsets)
             with np.errstate(over="ignore"):
@@ -166,8 +171,9 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "base_failed": base,
                 "kept": ~(base | repeating),
             }
-            rest = [c.slice(a, b - a) for c in batch.select(batch.schema.names[1:]).columns]
-            yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, columns.values())], [*batch.schema.names[1:], *columns])
+            name = "row" if whole else "doc_id"
+            rest = (row if whole else row.field(row.type.get_field_index(name))).slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([rest, *map(pa.array, columns.values())], [name, *columns])
     give_back()
 
 
@@ -176,14 +182,13 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id and what ``MEASURES`` names, for each row of ``docs`` (doc_id, text)."""
-    return docs.selectExpr("text", "cast(doc_id as long) doc_id").mapInArrow(measure, f"doc_id long, {MEASURES}")
+    row = docs.select(F.struct("text", F.col("doc_id").cast("long").alias("doc_id")).alias("row"))
+    return in_python(row, lambda batches: measure(batches, 0, False), f"doc_id long, {MEASURES}")
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns. Names that clash with
     the measures are of no consequence: rows travel as one struct."""
-    from pyspark.sql import functions as F
-
-    row = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    judged = row.mapInArrow(measure, f"row {row.schema['row'].dataType.simpleString()}, {MEASURES}")
+    row, text = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), docs.columns.index("text")
+    judged = in_python(row, lambda batches: measure(batches, text, True), f"row {row.schema['row'].dataType.simpleString()}, {MEASURES}")
     return judged.where("kept").select("row.*")

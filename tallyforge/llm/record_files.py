@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import in_python, new_path
 from .tokens import encoder
 
 END_ID = 2
@@ -127,7 +127,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"]
     ordered = keyed.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     schema = "part int, file string, index string, width int, records long, tokens long"
-    ordered.mapInArrow(run, schema).write.parquet(f"{path}/manifest")
+    in_python(ordered, run, schema).write.parquet(f"{path}/manifest")
     return spark.read.schema(schema).parquet(f"{path}/manifest")
 
 
@@ -165,7 +165,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(rows, "file string, width int, base long").repartition(len(rows))
-    return files.mapInArrow(run, out)
+    return in_python(files, run, out)
 
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .native import let
-from .shared import save
+from .shared import in_python, save
 from .tokens import Encoder
 
 FREQUENT, LONGEST, SHORT = 50_000, 20, 40
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, model: str, frequent: int = FREQUENT, with_ids: bool
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", "ids"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return in_python(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -234,7 +234,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
             texts = [encoder.decode(np.array(i or [], np.int64)).decode("utf-8", "replace") for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t[1:] if t.startswith(" ") else t for t in texts])], ["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return in_python(rows.select(F.col("doc_id").cast("long"), "ids"), run, "doc_id long, text string")
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:

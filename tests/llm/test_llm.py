@@ -90,6 +90,61 @@ def test_a_chain_is_one_component(spark):
     assert {r.component_id for r in near_dup.near_duplicates(docs, 4).collect()} == {0}
 
 
+def test_components_of_long_chains(spark):
+    """A chain in order, one against it, one shuffled, and a star: all in few rounds."""
+    n, rng = 1000, random.Random(3)
+    mixed = rng.sample(range(20_000, 20_000 + n), n)
+    chains = [[*range(2, n + 1), 1], list(range(11_000 + n, 11_000, -1)), mixed]
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:], strict=False)] + [(30_000 + n, 30_000 + i) for i in range(n)]
+    got = dict(map(tuple, near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: min(c) for c in [*chains, range(30_000, 30_001 + n)] for x in c}
+
+
+def test_one_large_group(spark, monkeypatch):
+    """A group over many blocks, hot buckets, a hot set, and strays that share its buckets."""
+    from tallyforge.llm import skew
+
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    base, rng, rows = words_of(300, 1), random.Random(4), []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(300)] = f"other{i}"
+        rows.append(" ".join(w))
+    rows += [" ".join(base)] * 60 + [" ".join(base[:240] + words_of(n, n)) for n in (20, 30, 60)] + [" ".join(words_of(300, 9))] * 2
+    docs = spark.createDataFrame([(i, t, "", "", None) for i, t in enumerate(rows)], SCHEMA).repartition(4).withColumns({c: F.lit(1) for c in ("gone", "node", "clash", "n", "to", "hub")})
+    sets = {i: shingles(t, 4) for i, t in enumerate(rows)}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                x, y = max(want[a], want[b]), min(want[a], want[b])
+                want = {i: y if v == x else v for i, v in want.items()}
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 4).collect()} == want
+    kept = near_dup.deduplicated(docs, 4)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
+
+
+def test_links_at_the_threshold_are_found():
+    """The share of pairs at a similarity of 0.8 and a little above that bands and estimate keep."""
+    rng, lost, total = np.random.RandomState(6), 0, 0
+    for shared, size in ((80, 90), (160, 180), (400, 450), (430, 450)):
+        for _ in range(150):
+            e = rng.randint(0, 2**63 - 1, 2 * size).astype(np.uint64)
+            k = setsketch.sketch(np.concatenate([e[:size], e[:shared], e[size : 2 * size - shared]]), np.array([0, size, 2 * size]))
+            keys = setsketch.band_keys(k)
+            estimate = setsketch.similarity(k[:1], k[1:], np.array([size]), np.array([size]))[0]
+            lost, total = lost + (not (keys[0] == keys[1]).any() or estimate < setsketch.floor_for(0.8)), total + 1
+    assert total == 600 and lost == 0
+
+
+def test_null_ids_are_never_linked(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()), key=str) == [(0, None, True), (1, 1, True), (2, 1, False)]
+    assert sorted(r.doc_id or 0 for r in near_dup.deduplicated(docs).collect()) == [0, 1]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dup.near_duplicates(empty).collect() == []
 
