@@ -68,27 +68,34 @@ def urls() -> str:
         fits = f"(host = '{own}' OR host LIKE '%.{own}') AND starts_with(path, '/{start}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{said}' ELSE {verdict} END"
 
-    def level(source: str, prefix: str, segment: str, name: str) -> str:
-        return f"""x{name} AS (SELECT *, sum(pages) OVER (PARTITION BY host, {prefix}, {segment}) AS own, sum(pages) OVER (PARTITION BY host, {prefix}) AS whole FROM {source}),
-        y{name} AS (SELECT host, {prefix}, count(DISTINCT {segment}) AS different FROM {source} GROUP BY 1, 2),
-        {name}_ AS (SELECT x.* EXCLUDE (own, whole), {prefix} || '/' || CASE WHEN {segment} = '' THEN '' WHEN (different > {url_filter.MANY} AND different * {url_filter.PAGES_EACH} > whole) OR (own < {url_filter.RARE} AND different > 1) OR regexp_full_match({segment}, '[0-9]+') THEN '*' ELSE {segment} END AS {name}
-          FROM x{name} x JOIN y{name} USING (host, {prefix}))"""
-
+    u, levels = url_filter, []
+    for i in range(1, u.LEVELS + 1):
+        here = f"segs[{i}]" if i < u.LEVELS else f"array_to_string(list_transform(segs[{i}:], lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '*' ELSE x END), '/')"
+        levels.append(f"""x{i} AS MATERIALIZED (SELECT *, CASE WHEN len(segs) >= {i} THEN {here} END AS seg FROM l{i - 1} WHERE len(segs) >= {i - 1}),
+        d{i} AS MATERIALIZED (SELECT host, t, count(DISTINCT seg) AS different, sum(CASE WHEN seg IS NOT NULL THEN pages END) AS whole, sum(bad) AS nb, sum(good) AS ng FROM x{i} GROUP BY 1, 2),
+        o{i} AS MATERIALIZED (SELECT host, t, seg, sum(pages) AS own FROM x{i} GROUP BY 1, 2, 3),
+        l{i} AS MATERIALIZED (SELECT x.host, path, pages, bad, good, segs, x.t || '/' || CASE WHEN x.seg = '' THEN '' WHEN (different > {u.MANY} AND different * {u.PAGES_EACH} > whole) OR (own < {u.RARE} AND different > 1) OR regexp_full_match(x.seg, '[0-9]+') THEN '*' ELSE x.seg END AS t, x.t AS above,
+          CASE WHEN nb + ng > 0 THEN nb ELSE ob END AS ob, CASE WHEN nb + ng > 0 THEN ng ELSE og END AS og
+          FROM x{i} x JOIN d{i} d ON d.host = x.host AND d.t = x.t JOIN o{i} o ON o.host = x.host AND o.t = x.t AND o.seg = x.seg)""")
+    ended = " UNION ALL ".join(f"SELECT * FROM l{i} WHERE len(segs) {'=' if i < u.LEVELS else '>='} {i}" for i in range(u.LEVELS + 1))
+    smooth = lambda bad, n: f"CAST({bad} * 1000 + {u.PRIOR} * overall AS DOUBLE) / CAST(({n} + {u.PRIOR}) * 1000 AS DOUBLE)"
+    apart = "CAST(bad * ab_n - ab * n AS DOUBLE)"
     return f"""
     WITH u AS (SELECT page_id, {_lower("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
-    ), v AS (SELECT *, {rule} AS rule, {verdict} AS said, string_split(path, '/') AS p FROM u
-    ), b AS (SELECT * EXCLUDE (p), '' AS t0, coalesce(p[2], '') AS s1, coalesce(p[3], '') AS s2, coalesce(array_to_string(p[4:], '/'), '') AS s3 FROM v
-    ), tree AS (SELECT host, t0, s1, s2, s3, count(*) AS pages, count(*) FILTER (WHERE said = 'block') AS bad, count(*) FILTER (WHERE said = 'allow') AS good FROM b GROUP BY ALL
-    ), {level("tree", "t0", "s1", "t1")}, {level("t1_", "t1", "s2", "t2")}, {level("t2_", "t2", "s3", "t3")},
-    br AS (SELECT host, t3, sum(bad) AS bad, sum(good) AS good FROM t3_ GROUP BY 1, 2
-    ), ho AS (SELECT host, sum(bad) AS hb, sum(good) AS hg FROM br GROUP BY 1
-    ), al AS (SELECT CAST(1000 * coalesce(sum(hb), 0) AS BIGINT) // greatest(1, CAST(coalesce(sum(hb + hg), 0) AS BIGINT)) AS share FROM ho
-    ), m AS (SELECT br.*, bad + good = 0 OR CAST(bad * (hb + hg) - hb * (bad + good) AS DOUBLE) * CAST(bad * (hb + hg) - hb * (bad + good) AS DOUBLE) <= 4.0::DOUBLE * (bad + good) * hb * hg AS alike FROM br JOIN ho USING (host)
-    ), po AS (SELECT host, sum(bad) AS pb, sum(good) AS pg FROM m WHERE alike GROUP BY 1
-    ), j AS (SELECT m.host, m.t3, CASE WHEN alike THEN '~' ELSE t3 END AS template, CASE WHEN alike THEN CAST(pb * 1000 + {url_filter.PRIOR} * share AS DOUBLE) / ((pb + pg + {url_filter.PRIOR}) * 1000) ELSE CAST(bad * 1000 + {url_filter.PRIOR} * share AS DOUBLE) / ((bad + good + {url_filter.PRIOR}) * 1000) END AS share
-      FROM m LEFT JOIN po USING (host), al)
-    SELECT b.page_id, b.host, b.path, b.rule, coalesce(b.said, CASE WHEN j.share >= {url_filter.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, j.template, j.share
-    FROM b JOIN t3_ t ON t.host = b.host AND t.s1 = b.s1 AND t.s2 = b.s2 AND t.s3 = b.s3 JOIN j ON j.host = b.host AND j.t3 = t.t3"""
+    ), b AS MATERIALIZED (SELECT *, {rule} AS rule, {verdict} AS said FROM u
+    ), l0 AS MATERIALIZED (SELECT host, path, count(*) AS pages, count(*) FILTER (WHERE said = 'block') AS bad, count(*) FILTER (WHERE said = 'allow') AS good, string_split(path, '/')[2:] AS segs, '' AS t, '' AS above, 0::HUGEINT AS ob, 0::HUGEINT AS og FROM b GROUP BY host, path
+    ), {", ".join(levels)}, w AS MATERIALIZED ({ended}
+    ), al AS (SELECT CAST(1000 * coalesce(sum(bad), 0) AS BIGINT) // greatest(1, CAST(coalesce(sum(bad + good), 0) AS BIGINT)) AS overall FROM l0
+    ), br AS (SELECT host, t, above, sum(bad) AS bad, sum(bad + good) AS n, max(ob) AS ob, max(og) AS og FROM w GROUP BY 1, 2, 3
+    ), bt AS MATERIALIZED (SELECT *, CASE WHEN n > 0 THEN floor(10 * CAST(bad * 1000 + {u.PRIOR} * overall AS DOUBLE) / CAST((n + {u.PRIOR}) * 1000 AS DOUBLE)) END AS tenth FROM br, al
+    ), co AS (SELECT host, above, tenth, sum(bad) AS ab, sum(n) AS ab_n FROM bt WHERE n > 0 GROUP BY 1, 2, 3
+    ), tr AS MATERIALIZED (SELECT bt.*, {apart} * {apart} <= 4.0::DOUBLE * n * ab * (ab_n - ab) AS alike FROM bt JOIN co USING (host, above, tenth)
+    ), me AS (SELECT host, above, tenth, sum(bad) AS mb, sum(n) AS mn, count(*) AS members FROM tr WHERE alike GROUP BY 1, 2, 3
+    ), j AS (SELECT tr.host, t, tr.above, {smooth("mb", "mn")} AS share, mn AS labels, CASE WHEN members > 1 THEN tr.above || '/~' || CAST(CAST(tr.tenth AS BIGINT) AS VARCHAR) ELSE t END AS template FROM tr JOIN me USING (host, above, tenth) WHERE alike
+      UNION ALL SELECT host, t, above, {smooth("bad", "n")}, n, t FROM tr WHERE NOT alike
+      UNION ALL SELECT host, t, above, {smooth("ob", "(ob + og)")}, ob + og, t FROM bt WHERE n = 0)
+    SELECT b.page_id, b.host, b.path, b.rule, coalesce(b.said, CASE WHEN j.labels > 0 AND j.share >= {u.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, left(j.template, {u.SHOWN}) AS template, j.share, CAST(j.labels AS BIGINT) AS labels
+    FROM b JOIN w ON w.host = b.host AND w.path = b.path JOIN j ON j.host = w.host AND j.t = w.t AND j.above = w.above"""
 
 
 def secret_spans() -> str:
@@ -97,27 +104,32 @@ def secret_spans() -> str:
     for i, (kind, regex, group, part, whole) in enumerate(kinds):
         r = _text(regex)
         test = f"length(part) >= {part} AND length(value) >= {whole}"
-        parts.append(f"""SELECT doc_id, source, {i} AS kind, '{kind}' AS name, value, pos, pos + length(value) AS stop FROM (
+        parts.append(f"""SELECT doc_id, source, lang, {i} AS kind, '{kind}' AS name, part, pos, pos + length(value) AS stop FROM (
           SELECT *, sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(length(value)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM (
-            SELECT doc_id, source, unnest(range(len(v))) AS i, unnest(v) AS value, unnest(p) AS part, unnest(list_slice(g, 1, len(v))) AS gap FROM (
-              SELECT doc_id, source, regexp_extract_all(t, {r}) AS v, regexp_extract_all(t, {r}, {group}) AS p, string_split_regex(t, {r}) AS g FROM d WHERE regexp_matches(t, {r})))) WHERE {test}""")
+            SELECT doc_id, source, lang, unnest(range(len(v))) AS i, unnest(v) AS value, unnest(p) AS part, unnest(list_slice(g, 1, len(v))) AS gap FROM (
+              SELECT doc_id, source, lang, regexp_extract_all(t, {r}) AS v, regexp_extract_all(t, {r}, {group}) AS p, string_split_regex(t, {r}) AS g FROM d WHERE regexp_matches(t, {r})))) WHERE {test}""")
+    word = " OR ".join(f"contains(lower(left(part, {secret_scan.LOOK})), {_text(w)})" for w in secret_scan.PLACEHOLDERS)
     return f"""
-    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)}
-    ), o AS (SELECT value FROM s WHERE kind > 2 GROUP BY 1 HAVING count(DISTINCT coalesce(source, '')) >= {secret_scan.MIN_OWNERS}
-    ), k AS (SELECT *, name || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT) AS shown FROM s WHERE kind < 3 OR value NOT IN (SELECT value FROM o))
+    WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}
+    ), s AS (SELECT *, len(list_distinct(string_split(left(part, {secret_scan.LOOK}), ''))) >= {secret_scan.MIN_CHARACTERS} AND NOT ({word}) AS looks FROM f
+      WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.kind < 3 AND b.doc_id = f.doc_id AND b.pos <= f.pos AND b.stop >= f.stop)
+    ), o AS (SELECT part FROM s GROUP BY 1 HAVING count(DISTINCT coalesce(source, '')) >= {secret_scan.MIN_OWNERS} OR count(DISTINCT (coalesce(source, ''), concat_ws('/', source, lang))) >= {secret_scan.MIN_REPOSITORIES}
+    ), k AS (SELECT *, name || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT) AS shown, looks AND part NOT IN (SELECT part FROM o) AS live FROM s)
     SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
-      sha256(coalesce(string_agg(shown, ',' ORDER BY pos, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY pos, kind), '') AS spans
+      sha256(coalesce(string_agg(shown, ',' ORDER BY pos, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+      coalesce(string_agg(shown, ',' ORDER BY pos, kind) FILTER (WHERE kind < 3 OR live), '') AS spans, coalesce(string_agg(shown, ',' ORDER BY pos, kind) FILTER (WHERE live), '') AS live
     FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
 def license_labels() -> str:
     rows = ", ".join(f"({_text(k)}, {_text(f' ({p}) ')}, {_text(label)}, {rank}, {c}::DOUBLE)" for k, p, label, rank, c in licenses.rules())
-    keywords = ", ".join(sorted({_text(k) for k, *_ in licenses.rules()}))
+    keywords = ", ".join(f"({_text(k)}, {before}, {after})" for k, (before, after) in sorted(licenses.reach(licenses.rules()).items()))
     return f"""
     WITH r(keyword, pattern, label, priority, confidence) AS (VALUES {rows}
+    ), kw(word, before, behind) AS (VALUES {keywords}
     ), w AS (SELECT doc_id, list_filter(regexp_split_to_array({_lower("coalesce(text, '')")}, '{licenses.NOT_WORD}'), lambda x: x <> '') AS w FROM documents
-    ), h AS (SELECT * FROM (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE word IN ({keywords})
-    ), win AS (SELECT doc_id, word, i - 1 AS pos, ' ' || array_to_string(list_slice(w, greatest(1, i - {licenses.BEFORE}), i - 1), ' ') || ' ~' || word || ' ' || array_to_string(list_slice(w, i + 1, i + {licenses.AFTER}), ' ') || ' ' AS win FROM h
+    ), h AS (SELECT * FROM (SELECT doc_id, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w) JOIN kw USING (word)
+    ), win AS (SELECT doc_id, word, i - 1 AS pos, ' ' || array_to_string(list_slice(w, greatest(1, i - before), i - 1), ' ') || ' ~' || word || ' ' || array_to_string(list_slice(w, i + 1, i + behind), ' ') || ' ' AS win FROM h
     ), m AS (SELECT doc_id, pos, label, priority, confidence, regexp_extract(win, pattern, 1) AS found FROM win JOIN r ON keyword = word
     ), x AS (SELECT doc_id, label, priority, confidence, pos - (length(split_part(found, '~', 1)) - length(replace(split_part(found, '~', 1), ' ', ''))) AS start, 1 + length(found) - length(replace(found, ' ', '')) AS size FROM m WHERE found <> ''
     ), y AS (SELECT *, {", ".join(f"max(start + size) FILTER (WHERE priority <= {p}) OVER (PARTITION BY doc_id ORDER BY start, -size, priority, label, confidence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e{p}" for p in range(4))} FROM x
