@@ -6,6 +6,7 @@ lumiblock the day of the order. Floating sums are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,12 @@ from .functions import objects as O
 from .functions.axis import Axis, VariableAxis
 from .operators import blocks as B
 from .operators import inspect, reshape, results, reweight, run_lists, variants
+from .operators.aggregates import Aggregate
 from .operators.fill import Store
 from .plans.processor import Processor, analyse
-from .sources import tables
+from .sources import streams, tables, texts
+from .sources.scratch import new_path
+from .streaming.fills import running_cells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +201,12 @@ def _groups():
 _SQL_GROUPS = {"": "true", "returned/": "l_returnflag = 'R'", "open/": "l_linestatus = 'O'"}
 
 
+def _whole_orders(spark, sf_dir) -> DataFrame:
+    """Orders with all their items."""
+    items = read(spark, sf_dir, "lineitem")
+    return items.groupBy("l_orderkey").agg(F.collect_list(F.struct(*[c for c in items.columns if c != "l_orderkey"])).alias("items"))
+
+
 def _many(events: DataFrame, plan: str) -> DataFrame:
     root = Store("all/", weight())
     for group, test in _groups().items():
@@ -212,17 +222,24 @@ _MANY = " UNION ALL ".join(
 
 @query(_MANY)
 def store_many_histograms(spark, sf_dir):
-    return shown(_many(read(spark, sf_dir, "lineitem"), "union"), "bx", path=True)
+    return shown(_many(read(spark, sf_dir, "lineitem"), "once"), "bx", path=True)
 
 
 @query(_MANY)
 def store_many_exploded(spark, sf_dir):
-    return shown(_many(read(spark, sf_dir, "lineitem"), "explode"), "bx", path=True)
+    """The same of an input that is costly to make: items that come out of their orders' arrays."""
+    items = _whole_orders(spark, sf_dir).select(F.explode("items").alias("i")).select("i.*")
+    return shown(_many(items, "once"), "bx", path=True)
+
+
+@query(_MANY)
+def store_many_union(spark, sf_dir):
+    return shown(_many(read(spark, sf_dir, "lineitem"), "union"), "bx", path=True)
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('all/{g}{n}', 'H1')" for g in _SQL_GROUPS for n, *_ in MANY) + ") t(path, kind)")
 def store_paths(spark, sf_dir):
-    return results.paths(_many(read(spark, sf_dir, "lineitem"), "union"))
+    return results.paths(_many(read(spark, sf_dir, "lineitem"), "once"))
 
 
 @query(f"SELECT concat('flag/', l_returnflag, '/x') AS path, {bin_sql('l_extendedprice', PRICE)} AS bx, {SUMS} FROM (SELECT *, ({W}) * 2.0::DOUBLE AS w FROM lineitem) GROUP BY 1, 2")
@@ -234,6 +251,7 @@ def store_dynamic_path(spark, sf_dir):
 # variants
 
 ORDER_PRICE = Axis(50, 0, 500000)
+NARROW = Axis(20, 100000, 300000)
 
 
 class _Analysis(Processor):
@@ -272,13 +290,17 @@ def channel_fanout(spark, sf_dir):
 _BINNED = f"b AS (SELECT s.sys, {bin_sql('CASE WHEN sys = chr(32) THEN o_totalprice ELSE o_totalprice * f END', ORDER_PRICE)} AS bx, CAST(count(*) AS DOUBLE) AS n FROM orders, (VALUES (' ', 1.0::DOUBLE), ('up', 1.1::DOUBLE), ('down', 0.9::DOUBLE)) s(sys, f) GROUP BY 1, 2)"
 
 
-@query(f"WITH {_BINNED} SELECT 'price' AS path, v.bx, v.sys AS source, v.n - coalesce(c.n, 0) AS shift FROM b v LEFT JOIN b c ON c.sys = ' ' AND c.bx = v.bx WHERE v.sys <> ' '")
+#: a source's bins and the nominal's; what one of the two lacks is 0 there
+_SHIFTS = f"{_BINNED}, g AS (SELECT DISTINCT s.sys, b.bx FROM b, (SELECT DISTINCT sys FROM b WHERE sys <> ' ') s WHERE b.sys IN (s.sys, ' ')), sh AS (SELECT g.sys, g.bx, coalesce(v.n, 0) - coalesce(c.n, 0) AS shift FROM g LEFT JOIN b v ON v.sys = g.sys AND v.bx = g.bx LEFT JOIN b c ON c.sys = ' ' AND c.bx = g.bx)"
+
+
+@query(f"WITH {_SHIFTS} SELECT 'price' AS path, bx, sys AS source, shift FROM sh")
 def systematic_shift(spark, sf_dir):
     rows = variants.fan_out(read(spark, sf_dir, "orders"), systematics=_Analysis().systematics())
     return variants.shifted(Store(F.col("variant")).h1("price", ORDER_PRICE, F.col("o_totalprice")).run(rows))
 
 
-@query(f"WITH {_BINNED} SELECT 'price' AS path, v.bx, round(sqrt(sum(abs(v.n - coalesce(c.n, 0)) * abs(v.n - coalesce(c.n, 0)))), 6) AS syst FROM b v LEFT JOIN b c ON c.sys = ' ' AND c.bx = v.bx WHERE v.sys <> ' ' GROUP BY 1, 2")
+@query(f"WITH {_SHIFTS} SELECT 'price' AS path, bx, round(sqrt(sum(shift * shift)), 6) AS syst FROM sh GROUP BY 1, 2")
 def systematic_error(spark, sf_dir):
     rows = variants.fan_out(read(spark, sf_dir, "orders"), systematics=_Analysis().systematics())
     shifts = variants.shifted(Store(F.col("variant")).h1("price", ORDER_PRICE, F.col("o_totalprice")).run(rows))
@@ -292,9 +314,16 @@ def skim_once(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice * 1.1::DOUBLE > 300000")
 def skim_by_variant(spark, sf_dir):
-    rows = variants.fan_out(read(spark, sf_dir, "orders"), _Analysis().channels(), _Analysis().systematics())
     keep = (F.col("o_totalprice") > 300000) & (F.col("channel") == "urgent")
-    return variants.skim(rows, keep, "o_orderkey").select("o_orderkey")
+    return variants.skim_events(read(spark, sf_dir, "orders"), keep, _Analysis().systematics(), _Analysis().channels()).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice * 1.1::DOUBLE AS o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice * 1.1::DOUBLE > 300000")
+def skim_first_variant(spark, sf_dir):
+    """The values of the variant by which an event passes first, which needs the fanned out rows."""
+    rows = variants.fan_out(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), _Analysis().channels(), _Analysis().systematics())
+    keep = (F.col("o_totalprice") > 300000) & (F.col("channel") == "urgent") & (F.col("systematic") == "up")
+    return variants.skim(rows, keep, "o_orderkey", ["o_totalprice"])
 
 
 # blocks
@@ -405,7 +434,9 @@ def meta_summary(spark, sf_dir):
 
 @query("SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def split_per(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    path = new_path(spark, "split")
+    B.split_per(read(spark, sf_dir, "orders"), "o_orderstatus", path)
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
 # run lists
@@ -454,7 +485,7 @@ _WEIGHTS = f"{_XS}, {_SAMPLES}, w AS (SELECT s.*, xs, CASE WHEN simulation THEN
 def _sample_orders(spark, sf_dir) -> DataFrame:
     customer, nation = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     orders = read(spark, sf_dir, "orders")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_name", "sample")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_name", "sample")
 
 
 def _samples(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -494,7 +525,7 @@ def effective_lumi(spark, sf_dir):
 def period_lookup(spark, sf_dir):
     rows = [(y * 100 + m, f"{chr(65 + y - 1992)}{m}") for y in range(1992, 1996) for m in range(1, 13)]
     mapping = spark.createDataFrame(rows, "run int, subperiod string")
-    return reweight.periods(_orders(spark, sf_dir), F.broadcast(mapping), "run").groupBy("subperiod", "period").agg(F.count("*").alias("n"))
+    return reweight.periods(_orders(spark, sf_dir), mapping, "run").groupBy("subperiod", "period").agg(F.count("*").alias("n"))
 
 
 # four-vectors
@@ -615,12 +646,12 @@ def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return side("F", 1.0), side("O", 1.05)
 
 
-@query(f"WITH {_BOTH} SELECT bx, round(d / m, 6) AS ratio FROM j WHERE m <> 0")
+@query(f"WITH {_BOTH} SELECT bx, CASE WHEN m > 0 THEN round(d / m, 6) ELSE 0 END AS ratio FROM j")
 def ratio_panel(spark, sf_dir):
-    return results.ratio(*_two(spark, sf_dir)).where("m <> 0").select("bx", F.round("ratio", 6).alias("ratio"))
+    return results.ratio(*_two(spark, sf_dir)).select("bx", F.round("ratio", 6).alias("ratio"))
 
 
-@query(f"WITH {_BOTH} SELECT bx, round((d - m) / sqrt(m2 + greatest(d2, 1)), 6) AS pull FROM j")
+@query(f"WITH {_BOTH} SELECT bx, CASE WHEN d > 0 THEN round((d - m) / sqrt(m2 + greatest(d2, 1)), 6) ELSE 0 END AS pull FROM j")
 def pull_panel(spark, sf_dir):
     return results.pull(*_two(spark, sf_dir)).select("bx", F.round("pull", 6).alias("pull"))
 
@@ -679,7 +710,7 @@ def zip_columns(spark, sf_dir):
 
 @query(f"WITH {_STREAM} SELECT event_id, segment, md FROM e WHERE md IS NOT NULL")
 def metadata_only(spark, sf_dir):
-    return _stream(spark, sf_dir).where("md IS NOT NULL")
+    return tables.metadata_only(_stream(spark, sf_dir), "md")
 
 
 @query("SELECT CAST(user_id % 3 AS INTEGER) AS segment, event_type, count(*) AS count FROM events GROUP BY 1, 2")
@@ -707,7 +738,7 @@ def track_selection(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").where(test).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 8 OR p_partkey = 21 OR (p_partkey >= 1000 AND p_partkey < 10000 AND (p_partkey // 10) % 10 = 0)")
+@query("SELECT p_partkey FROM part WHERE abs(p_partkey) < 10 OR p_partkey = 21 OR (abs(p_partkey) < 9999 AND (p_partkey // 10) % 10 = 0)")
 def coloured(spark, sf_dir):
     return read(spark, sf_dir, "part").where(O.is_coloured(F.col("p_partkey"))).select("p_partkey")
 
@@ -736,10 +767,10 @@ def cutflow_table(spark, sf_dir):
     return out.select("cut", "ordinal", *[F.round(c, 4).alias(c) for c in ("O", "F", "background")], F.round("error", 6).alias("error"))
 
 
-@query(f"WITH c AS (SELECT concat(o_orderstatus, '/p') AS path, count(*)::DOUBLE AS integral FROM orders GROUP BY 1) SELECT path, integral, CAST(row_number() OVER (ORDER BY path <> 'P/p', integral, path) AS INTEGER) AS place FROM c")
+@query(f"WITH c AS (SELECT concat(o_orderstatus, '/p') AS path, (count(*) FILTER (WHERE {bin_sql('o_totalprice', NARROW)} BETWEEN 1 AND 20))::DOUBLE AS integral FROM orders GROUP BY 1) SELECT path, integral, CAST(row_number() OVER (ORDER BY path <> 'P/p', integral, path) AS INTEGER) AS place FROM c")
 def stack_order(spark, sf_dir):
-    cells = Store(F.concat(F.col("o_orderstatus"), F.lit("/"))).h1("p", ORDER_PRICE, F.col("o_totalprice")).run(read(spark, sf_dir, "orders"))
-    return results.stacked(cells, "P/p")
+    cells = Store(F.concat(F.col("o_orderstatus"), F.lit("/"))).h1("p", NARROW, F.col("o_totalprice")).run(read(spark, sf_dir, "orders"))
+    return results.stacked(cells, 20, "P/p")
 
 
 @query("SELECT o_orderkey, coalesce(o_totalprice, 0) AS o_totalprice, '' AS comment, 0 AS flags FROM orders")
@@ -753,3 +784,272 @@ def missing_samples(spark, sf_dir):
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     sets = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("sample"), F.col("r_name").alias("set_name"))
     return reweight.missing_samples(sets, _samples(spark, sf_dir)[1].select("sample"))
+
+
+# results and aggregates
+
+
+@query(f"WITH f AS ({_FLOW}) SELECT cut, CAST(ordinal AS INTEGER) AS ordinal, round(2 * sumw * 0.5::DOUBLE, 4) AS sumw, round(2 * sumw2 * 0.25::DOUBLE, 4) AS sumw2, CAST(floor(2 * entries * 0.5::DOUBLE) AS BIGINT) AS entries FROM f")
+def cutflow_merge_scale(spark, sf_dir):
+    flow = _flow(spark, sf_dir)
+    return shown(results.cut_flow(results.scale(results.merge(flow, flow), 0.5)), "cut", "ordinal")
+
+
+@query(f"WITH {_CELLS} SELECT 'h/x' AS path, bx, round(sqrt(sumw2), 4) AS error, round(sumw, 4) AS sumw FROM c")
+def cell_listing(spark, sf_dir):
+    return results.listing(_h1(spark, sf_dir, HALF)).select("path", "bx", F.round("error", 4).alias("error"), F.round("sumw", 4).alias("sumw"))
+
+
+@query(f"WITH {_CELLS} SELECT 'h/x' AS path, bx, round(sumw, 4) AS sumw, round(sumw2, 4) AS sumw2, entries FROM c")
+def results_on_disk(spark, sf_dir):
+    path = new_path(spark, "results")
+    tables.write_results(_h1(spark, sf_dir, HALF), path)
+    return shown(tables.read_results(spark, path, "H1"), "bx", path=True)
+
+
+@query(f"WITH {_CELLS}, f AS ({_FLOW}) SELECT 'H1' AS kind, CAST(count(*) AS BIGINT) AS cells, round(sum(sumw), 3) AS total FROM c UNION ALL SELECT 'CUTFLOW', CAST(count(*) AS BIGINT), round(max(sumw), 3) FROM f")
+def results_by_kind(spark, sf_dir):
+    both = _h1(spark, sf_dir, HALF).unionByName(_flow(spark, sf_dir))
+    one = lambda f: lambda cells: cells.groupBy("kind").agg(F.count("*").alias("cells"), F.round(f("sumw"), 3).alias("total"))
+    return tables.by_kind(both, {"H1": one(F.sum), "CUTFLOW": one(F.max)})
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000")
+def skim_on_disk(spark, sf_dir):
+    path = new_path(spark, "skim")
+    tables.write_events(read(spark, sf_dir, "orders").where("o_totalprice > 300000"), path, ["o_orderstatus"])
+    return tables.read_events(spark, [path]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT 'range/' || o_orderstatus AS path, count(*) AS n, round(sum(o_totalprice) * 0.5::DOUBLE, 2) AS total, round(min(o_totalprice), 2) AS lowest, round(max(o_totalprice), 2) AS highest, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1")
+def user_aggregate(spark, sf_dir):
+    price = F.col("o_totalprice")
+    kind = Aggregate("RANGE", {"n": (F.lit(1).cast("long"), "sum"), "total": (price, "sum"), "lowest": (price, "min"), "highest": (price, "max"), "priorities": (F.col("o_orderpriority"), "union")}, {"total": 1})
+    orders, path = read(spark, sf_dir, "orders"), F.concat(F.lit("range/"), F.col("o_orderstatus"))
+    whole = kind.merge(*[kind.fill(orders, path, F.col("o_orderkey") % 2 == i) for i in range(2)])
+    out = kind.scale(whole, 0.5)
+    return out.select("path", "n", F.round("total", 2).alias("total"), F.round("lowest", 2).alias("lowest"), F.round("highest", 2).alias("highest"), F.array_join("priorities", ",").alias("priorities"))
+
+
+@query(f"SELECT {bin_sql('o_totalprice', ORDER_PRICE)} AS bx, count(*) AS entries FROM orders GROUP BY 1")
+def stream_fills(spark, sf_dir):
+    """The fills of a stream that ends, as its sink has them."""
+    orders = read(spark, sf_dir, "orders")
+    source = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    name = f"cells_{uuid.uuid4().hex}"
+    cells = running_cells(source, Store().h1("p", ORDER_PRICE, F.col("o_totalprice")))
+    cells.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("bx", "entries")
+
+
+# more of blocks
+
+
+@query(f"WITH {_MD} SELECT segment, status, any_value(status) AS kind, CAST(sum(event_count) AS BIGINT) AS event_count FROM md GROUP BY 1, 2")
+def meta_block(spark, sf_dir):
+    rows = _metadata(spark, sf_dir).select("segment", "status", "block", F.col("status").alias("kind"), "event_count")
+    return B.merge(rows, ["segment", "status"], "block", {"kind": "block", "event_count": "add"}).drop("block")
+
+
+@query(f"WITH {_BLOCK} SELECT o_orderkey, segment, block FROM b")
+def block_stitched(spark, sf_dir):
+    rows = B.assign_stitched(_orders(spark, sf_dir), ["segment"], "o_orderkey", ["o_orderstatus"], 500)
+    return rows.select("o_orderkey", "segment", "block")
+
+
+class _Manual(Processor):
+    """A block for each order in progress and what follows it."""
+
+    metadata, segment, order, per_block = "MANUAL_FORWARD", ("segment",), ("o_orderkey",), True
+
+    def block_marks(self):
+        return F.col("o_orderstatus") == "P", F.struct("o_orderkey", "run")
+
+    def process(self, store):
+        store.passed("orders", "all")
+
+
+_MARKED = f"{_ORDERS}, m AS (SELECT *, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY segment ORDER BY o_orderkey) AS BIGINT) AS block FROM o)"
+
+
+@query(f"WITH {_MARKED} SELECT segment, block, count(*) AS entries FROM m GROUP BY 1, 2")
+def results_per_block(spark, sf_dir):
+    return analyse(_Manual(), _orders(spark, sf_dir)).results.select("segment", "block", "entries")
+
+
+@query(f"WITH {_MARKED} SELECT segment, block, o_orderkey AS first, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS run FROM m WHERE o_orderstatus = 'P'")
+def manual_blocks(spark, sf_dir):
+    return analyse(_Manual(), _orders(spark, sf_dir)).metadata.select("segment", "block", F.col("metadata.o_orderkey").alias("first"), "metadata.run")
+
+
+@query(f"WITH {_ORDERS}, m AS (SELECT *, CAST(coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY segment ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block FROM o) SELECT o_orderkey, block FROM m")
+def manual_blocks_backward(spark, sf_dir):
+    return B.manual(_orders(spark, sf_dir), ["segment"], ["o_orderkey"], F.col("o_orderstatus") == "P", F.col("run"), forward=False)[0].select("o_orderkey", "block")
+
+
+@query("WITH e AS (SELECT CAST(user_id % 7 AS INTEGER) AS run, CASE WHEN event_id % 3 = 0 THEN ['all', 'even'] WHEN event_id % 3 = 1 THEN ['all', 'odd'] ELSE ['all'] END AS s, value FROM events) SELECT run, count(*) AS event_count, round(sum(value), 4) AS sum_mc_weights, CASE WHEN count(*) = count(*) FILTER (WHERE list_contains(s, 'all')) THEN 'all' ELSE '' END AS streams FROM e GROUP BY 1")
+def meta_streams(spark, sf_dir):
+    tags = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("all"), F.lit("even"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("all"), F.lit("odd"))).otherwise(F.array(F.lit("all")))
+    rows = read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(7)).cast("int").alias("run"), "value", "event_id", tags.alias("tags"))
+    out = B.summary(rows, ["run"], "value", "event_id", "tags")
+    return out.select("run", "event_count", F.round("sum_mc_weights", 4).alias("sum_mc_weights"), F.array_join("streams", ",").alias("streams"))
+
+
+# the stream format
+
+_RECORDS = f"{_BLOCK}, h AS (SELECT segment, block, min(o_orderkey) AS first, any_value(o_orderstatus) AS status FROM b GROUP BY 1, 2)"
+
+
+def _as_records(spark, sf_dir) -> str:
+    """Orders and their blocks as streams: a file a segment, each block's metadata before its orders."""
+    rows = _blocks(spark, sf_dir)
+    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.array("run", "lb").alias("at"))
+    events = rows.select("segment", "o_orderkey", F.lit(1).alias("rank"), order.alias("Order"), F.lit(None).alias("Block"))
+    heads = rows.groupBy("segment", "block").agg(F.min("o_orderkey").alias("o_orderkey"), F.min("o_orderstatus").alias("status"))
+    about = F.struct(F.col("block").alias("number"), "status", (F.col("block") % 2 == 0).alias("even"))
+    heads = heads.select("segment", "o_orderkey", F.lit(0).alias("rank"), F.lit(None).alias("Order"), about.alias("Block"))
+    kinds = {"Order": events.schema["Order"].dataType, "Block": heads.schema["Block"].dataType}
+    both = [df.withColumns({n: F.col(n).cast(k) for n, k in kinds.items()}) for df in (events, heads)]
+    path = new_path(spark, "records")
+    streams.write_streams(both[0].unionByName(both[1]), path, "segment", ["o_orderkey", "rank"], ["Block"])
+    return path
+
+
+def _of_class(spark, path: str, stream: DataFrame, name: str) -> DataFrame:
+    return streams.of_class(stream, name, streams.class_schemas(path)[name])
+
+
+@query(f"WITH {_RECORDS} SELECT o_orderkey AS key, o_totalprice AS price, concat(CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER), ',', day(o_orderdate)) AS at, status FROM b JOIN h USING (segment, block)")
+def stream_round_trip(spark, sf_dir):
+    """Written, read back, and each order with the metadata of its block."""
+    path = _as_records(spark, sf_dir)
+    stream = streams.read_streams(spark, path)
+    about = F.when(F.col("is_metadata"), F.get_json_object("json", "$.status"))
+    known = B.with_metadata(stream.withColumn("status", about), ["path", "segment"], ["position"], "status", F.col("forward"))
+    schema = streams.class_schemas(path)["Order"]
+    orders = known.where("class_name = 'Order'").select(streams.parsed(F.col("json"), schema).alias("r"), "current")
+    return orders.select("r.key", "r.price", F.array_join(F.col("r.at").cast("array<string>"), ",").alias("at"), F.col("current").alias("status"))
+
+
+@query(f"WITH {_RECORDS} SELECT block AS number, status, block % 2 = 0 AS even, count(*) AS blocks FROM h GROUP BY ALL")
+def stream_metadata(spark, sf_dir):
+    """All metadata, read by the footers' offsets, without the orders between."""
+    path = _as_records(spark, sf_dir)
+    blocks = _of_class(spark, path, streams.read_streams(spark, path, metadata_only=True), "Block")
+    return blocks.groupBy("number", "status", "even").agg(F.count("*").alias("blocks"))
+
+
+@query(f"WITH {_RECORDS} SELECT o_orderkey AS key FROM b WHERE block = 3")
+def stream_block(spark, sf_dir):
+    """The fourth block of each segment, sought without reading those before."""
+    path = _as_records(spark, sf_dir)
+    return _of_class(spark, path, streams.read_streams(spark, path, block=3), "Order").select("key")
+
+
+@query(f"WITH {_RECORDS} SELECT 'Order' AS class_name, count(*) AS records FROM b UNION ALL SELECT 'Block', count(*) FROM h")
+def stream_footers(spark, sf_dir):
+    found = streams.footers(spark, _as_records(spark, sf_dir)).where("class_name IS NOT NULL")
+    return found.groupBy("class_name").agg(F.sum("count").alias("records"))
+
+
+@query(f"WITH {_RECORDS}, z AS (SELECT segment, count(*) AS n, (SELECT count(*) FROM h WHERE h.segment = b.segment) AS blocks FROM b GROUP BY 1) SELECT CAST(sum(n + blocks) AS BIGINT) AS shown, CAST(count(*) AS BIGINT) AS headers, CAST(2 * count(*) AS BIGINT) AS classes, CAST(sum(blocks) AS BIGINT) AS sections FROM z")
+def stream_internal(spark, sf_dir):
+    """The stream's own records too: a header a segment, its classes, a compressed section a block."""
+    stream = streams.read_streams(spark, _as_records(spark, sf_dir), internal=True, json=False)
+    own = lambda *ids: F.count_if(F.col("class_id").isin(*ids))
+    return stream.agg(F.count_if(F.col("class_id") > 200).alias("shown"), own(streams.HEADER).alias("headers"), own(streams.CLASS).alias("classes"), own(streams.START_COMPRESSED).alias("sections"))
+
+
+# text inputs
+
+
+@query(f"WITH {_RUNS} SELECT CAST(run AS BIGINT) AS run, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM r2")
+def run_list_xml(spark, sf_dir):
+    path = new_path(spark, "xml")
+    spark.createDataFrame([(texts.run_list_to_xml(_lists(spark)[1]),)], "value string").coalesce(1).write.text(path)
+    return texts.run_list_from_xml(spark, path)
+
+
+def _set_file(spark, sf_dir) -> DataFrame:
+    nations, path = read(spark, sf_dir, "nation").orderBy("n_regionkey", "n_nationkey").collect(), new_path(spark, "sets")
+    lines = []
+    for region in sorted({r.n_regionkey for r in nations}):
+        lines += [f":set{region}:Region {region}", *(f"{r.n_nationkey} x 2.0 0.5 {r.n_nationkey + 1}.5 a b" for r in nations if r.n_regionkey == region)]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return texts.sample_sets(spark, path)
+
+
+_SET_ROWS = "t AS (SELECT concat('set', n_regionkey) AS set_name, CAST(n_nationkey AS VARCHAR) AS sample, n_nationkey + 1.5::DOUBLE AS xs, 2.0::DOUBLE AS k, 0.5::DOUBLE AS filter FROM nation)"
+_SET_COUNTS = "s AS (SELECT CAST(c_nationkey AS VARCHAR) AS sample, c_nationkey % 2 = 0 AS simulation, count(*) AS event_count, sum(c_acctbal) AS sum_w FROM customer WHERE c_nationkey <> 3 GROUP BY 1, 2)"
+
+
+def _set_counts(spark, sf_dir) -> DataFrame:
+    customers = read(spark, sf_dir, "customer").where("c_nationkey <> 3").withColumns({"sample": F.col("c_nationkey").cast("string"), "simulation": F.col("c_nationkey") % 2 == 0})
+    return customers.groupBy("sample", "simulation").agg(F.count("*").alias("event_count"), F.sum("c_acctbal").alias("sum_w"))
+
+
+@query(f"WITH {_SET_ROWS} SELECT set_name, concat('Region ', substr(set_name, 4)) AS title, sample, xs, k, filter FROM t")
+def set_file(spark, sf_dir):
+    # lines of seven cells have the cross section in the fifth
+    return _set_file(spark, sf_dir)
+
+
+@query(f"WITH {_SET_ROWS} SELECT set_name, string_agg(sample, ' ' ORDER BY sample) AS samples FROM t GROUP BY 1")
+def set_listing(spark, sf_dir):
+    return reweight.set_listing(_set_file(spark, sf_dir))
+
+
+@query(f"WITH {_SET_ROWS}, {_SET_COUNTS} SELECT set_name, sample, xs * k AS xs, event_count, round(sum_w, 4) AS sum_w, round(sum_w / (1000 * xs * k * filter), 6) AS lumi, sum(xs * k) OVER (PARTITION BY set_name) AS set_xs FROM t LEFT JOIN s USING (sample)")
+def luminosity_table(spark, sf_dir):
+    out = reweight.luminosity_table(_set_file(spark, sf_dir), _set_counts(spark, sf_dir))
+    return out.withColumns({"sum_w": F.round("sum_w", 4), "lumi": F.round("lumi", 6)})
+
+
+@query(f"WITH {_SET_COUNTS} SELECT CASE WHEN simulation THEN 'simulated' ELSE 'data' END AS part, CAST(sum(event_count) AS BIGINT) AS entries FROM s GROUP BY 1")
+def split_by_simulation(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer").where("c_nationkey <> 3").withColumn("sample", F.col("c_nationkey").cast("string"))
+    cells = Store().h1("balance", Axis(10, -1000, 10000), F.col("c_acctbal")).run(customers, keys=["sample"])
+    parts = zip(("data", "simulated"), reweight.split_by_simulation(cells, _set_counts(spark, sf_dir)), strict=True)
+    data, simulated = (df.agg(F.sum("entries").alias("entries")).select(F.lit(n).alias("part"), "entries") for n, df in parts)
+    return data.unionByName(simulated)
+
+
+# more functions
+
+
+@query("SELECT o_orderkey, o_orderstatus IN ('F', 'P') AS known, concat('order ', o_orderkey, '/', o_orderstatus) AS text FROM orders")
+def maps_and_texts(spark, sf_dir):
+    mapping = F.create_map(F.lit("F"), F.lit(1), F.lit("P"), F.lit(2))
+    return read(spark, sf_dir, "orders").select("o_orderkey", O.in_map(mapping, F.col("o_orderstatus")).alias("known"), O.str_cat("order ", F.col("o_orderkey"), "/", F.col("o_orderstatus")).alias("text"))
+
+
+@query("WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 25 AS id, l_extendedprice AS pt, l_linenumber % 3 <> 0 AS final FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN id = 11 THEN 'electron' WHEN id = 13 THEN 'muon' ELSE 'neutrino' END AS kind FROM t WHERE id IN (11, 12, 13, 14, 16, 18) AND final AND pt > 5000")
+def truth_selection(spark, sf_dir):
+    vertex = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey"))
+    kind = O.truth_kind(F.col("l_partkey") % 25, vertex, F.col("l_extendedprice"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+@query(f"""WITH {_P}, r AS (SELECT vec_id, CASE WHEN dp >= {_PI} THEN dp - 2 * {_PI} WHEN dp < -{_PI} THEN dp + 2 * {_PI} ELSE dp END AS phi, px, py, pz, pt, p, eta, e FROM (SELECT *, phi + 1.0::DOUBLE AS dp FROM h))
+SELECT vec_id, round(pt, 5) AS pt, round(eta, 5) AS eta, round(phi, 5) AS phi, round(sqrt(p * p + 4), 5) AS e, round(e, 5) AS given, round(sqrt(px * px + py * py), 5) AS met, round(px - 2 * px, 5) AS difference, round(e / p * pt, 5) AS transverse FROM r""")
+def lorentz_constructors(spark, sf_dir):
+    v = F.col("v")
+    parts = (L.pt(v), L.eta(v), L.phi(v) + 1.0)
+    made, given = L.from_pt_eta_phi_m(*parts, F.lit(2.0)), L.from_pt_eta_phi_e(*parts, v["e"])
+    r = lambda c: F.round(c, 5)
+    return _vectors(spark, sf_dir).select(
+        "vec_id", r(L.pt(made)).alias("pt"), r(L.eta(made)).alias("eta"), r(L.phi(made)).alias("phi"), r(made["e"]).alias("e"), r(given["e"]).alias("given"),
+        r(L.from_met(v["px"], v["py"])["e"]).alias("met"), r(L.subtract(v, L.scale(v, 2.0))["px"]).alias("difference"), r(L.transverse(v)["e"]).alias("transverse"),
+    )
+
+
+@query("SELECT o_orderkey, o_custkey % 2 <> 0 AS odd, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders")
+def conversions(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 2).cast("int").alias("odd"), F.year("o_orderdate").alias("year"))
+    wanted = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("odd", T.BooleanType()), T.StructField("year", T.LongType())])
+    return reshape.nest(rows, wanted)
+
+
+@query("""SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS line FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 10)""")
+def dump_lines(spark, sf_dir):
+    return inspect.lines(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 10, 50)

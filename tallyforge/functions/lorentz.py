@@ -1,7 +1,7 @@
 """Lorentz vectors as struct Columns (px, py, pz, e).
 
-Ratios that the machine's floats would make infinite are null here: SQL division by zero is an
-error and logarithms of nothing are null.
+Rapidity and pseudorapidity along the axis are infinite, with the sign of pz; where a ratio isn't
+defined (the null vector, a spacelike sum) they are null.
 """
 
 from __future__ import annotations
@@ -78,12 +78,18 @@ def mt(v: Column) -> Column:
     return F.sqrt((v["e"] - v["pz"]) * (v["e"] + v["pz"]))
 
 
+def _half_log(above: Column, below: Column) -> Column:
+    infinite = F.lit(float("inf"))
+    inner = 0.5 * F.log(F.try_divide(above, below))
+    return F.when((below == 0) & (above > 0), infinite).when((above == 0) & (below > 0), -infinite).otherwise(inner)
+
+
 def rapidity(v: Column) -> Column:
-    return 0.5 * F.log(F.try_divide(v["e"] + v["pz"], v["e"] - v["pz"]))
+    return _half_log(v["e"] + v["pz"], v["e"] - v["pz"])
 
 
 def eta(v: Column) -> Column:
-    return 0.5 * F.log(F.try_divide(p(v) + v["pz"], p(v) - v["pz"]))
+    return _half_log(p(v) + v["pz"], p(v) - v["pz"])
 
 
 def et(v: Column) -> Column:

@@ -64,11 +64,21 @@ def good_track(pt: Column, eta: Column, pixel_hits: Column, strip_hits: Column)
 
 
 def is_coloured(pdg_id: Column) -> Column:
-    """Quarks, gluons and diquarks, by the digits of the particle number."""
+    """Quarks, the gluon, and numbers below 9999 whose tens digit is 0, as diquarks' is."""
     a = F.abs(pdg_id)
-    quark = (a >= 1) & (a <= 8)
-    diquark = (a >= 1000) & (a < 10000) & (F.floor(a / 10) % 10 == 0)
-    return quark | (a == 21) | diquark
+    return (a < 10) | (pdg_id == 21) | ((a < 9999) & (F.floor(a / 10) % 10 == 0))
+
+
+def is_final(end_vertex: Column) -> Column:
+    """Particles that don't end anywhere."""
+    return end_vertex.isNull()
+
+
+def truth_kind(pdg_id: Column, end_vertex: Column, pt: Column, least: float = 5000.0) -> Column:
+    """electron, muon or neutrino for final leptons above ``least``; null for all else."""
+    kept = (pdg_id > 10) & (pdg_id < 19) & is_final(end_vertex) & ~is_coloured(pdg_id) & (pt > least)
+    named = F.when(pdg_id == 11, "electron").when(pdg_id == 13, "muon").when(pdg_id.isin(12, 14, 16, 18), "neutrino")
+    return F.when(kept, named)
 
 
 def field_as_string(value: Column, repeated: bool = False) -> Column:

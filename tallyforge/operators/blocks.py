@@ -1,7 +1,8 @@
 """Metadata blocks: runs of events that share attributes.
 
-Rows have an order within a segment (a file, or a part of a stream); windows are always
-partitioned by it, so no task holds the whole table. A block is numbered within its segment.
+Rows have an order within a segment (a file, or a part of a stream); windows are always partitioned
+by it, so a segment is what one task sorts: one file's worth of rows. For longer ones,
+``assign_stitched`` numbers blocks from pieces of segments. A block is numbered within its segment.
 """
 
 from __future__ import annotations
@@ -34,6 +35,36 @@ def assign(events: DataFrame, segment: Sequence[str], order: Sequence[str], keys
     return marked.withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
+def assign_stitched(events: DataFrame, segment: Sequence[str], order: str, keys: Sequence[str], piece: int) -> DataFrame:
+    """``assign`` for segments of any length, in pieces of ``piece`` steps of the numeric ``order``: each
+    piece is numbered by itself, and what it adds to the numbers after it (its changes, and whether its
+    first row differs from the last row before it) comes from a table of one row a piece."""
+    own = [*segment, "_piece"]
+    w = Window.partitionBy(*own).orderBy(order)
+    new = F.lit(False)
+    for k in keys:
+        new = new | ~F.col(k).eqNullSafe(F.lag(k).over(w))
+    cut = events.withColumn("_piece", F.floor(F.col(order) / piece))
+    marked = cut.withColumn("_new", (new & (F.row_number().over(w) > 1)).cast("long")).withColumn("_inner", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*own).agg(F.max("_inner").alias("_changes"), F.min_by(F.struct(*keys), order).alias("_head"), F.max_by(F.struct(*keys), order).alias("_tail"))
+    along = Window.partitionBy(*segment).orderBy("_piece")
+    starts = (~F.col("_head").eqNullSafe(F.lag("_tail").over(along)) & (F.row_number().over(along) > 1)).cast("long")
+    before = F.sum(F.col("_starts") + F.coalesce(F.col("_last"), F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    table = ends.withColumn("_starts", starts).withColumn("_last", F.lag("_changes").over(along)).select(*own, before.alias("_before"))
+    return marked.join(table, own).withColumn("block", F.col("_before") + F.col("_inner")).drop("_piece", "_new", "_inner", "_before")
+
+
+def manual(events: DataFrame, segment: Sequence[str], order: Sequence[str], mark: Column, metadata: Column, forward: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Blocks that the analysis cuts itself: (events with ``block``, (segment, block, metadata) of the marked
+    rows). A marked event starts a block (forward) or is the last of one. Events before the first start,
+    or after the last end, are in a block without metadata."""
+    w = Window.partitionBy(*segment).orderBy(*order)
+    marked = events.withColumns({"_mark": F.coalesce(mark, F.lit(False)).cast("long"), "_metadata": metadata})
+    before = F.sum("_mark").over(w.rowsBetween(Window.unboundedPreceding, 0 if forward else -1))
+    numbered = marked.withColumn("block", F.coalesce(before, F.lit(0)))
+    return numbered.drop("_mark", "_metadata"), numbered.where("_mark = 1").select(*segment, "block", F.col("_metadata").alias("metadata"))
+
+
 def with_metadata(stream: DataFrame, segment: Sequence[str], order: Sequence[str], metadata: str, forward: Column | None = None) -> DataFrame:
     """``stream`` with ``current``: the metadata that holds for each row. A metadata row holds for
     the rows after it, up to the next one; backward segments (``forward`` false) the other way."""
@@ -139,6 +170,13 @@ def split_per(df: DataFrame, key: str, path: str) -> None:
     df.write.partitionBy(key).parquet(path)
 
 
-def summary(events: DataFrame, by: Sequence[str], weight: str, lumiblock: str) -> DataFrame:
-    """Metadata of events: counts, summed weights and the lumiblocks seen."""
-    return events.groupBy(*by).agg(F.count("*").alias("event_count"), F.sum(weight).alias("sum_mc_weights"), F.array_sort(F.collect_set(lumiblock)).alias("lumiblocks"))
+def summary(events: DataFrame, by: Sequence[str], weight: str, lumiblock: str, streams: str | None = None) -> DataFrame:
+    """Metadata of events: counts, summed weights, the lumiblocks seen, and the streams (an array column)
+    that all events have."""
+    out = [F.count("*").alias("event_count"), F.sum(weight).alias("sum_mc_weights"), F.array_sort(F.collect_set(lumiblock)).alias("lumiblocks")]
+    if streams is None:
+        return events.groupBy(*by).agg(*out)
+    totals = events.groupBy(*by).agg(*out)
+    each = events.select(*by, F.explode(F.array_distinct(streams)).alias("_s")).groupBy(*by, "_s").agg(F.count("*").alias("_n"))
+    common = totals.select(*by, "event_count").join(each, list(by)).where(F.col("_n") == F.col("event_count")).groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("streams"))
+    return totals.join(common, list(by), "left").withColumn("streams", F.coalesce("streams", F.array().cast(common.schema["streams"].dataType)))

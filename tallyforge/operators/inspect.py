@@ -59,13 +59,21 @@ def dump(df: DataFrame, order: Sequence[str], start: int = 0, count: int | None
     return select_equal(rows, **values)
 
 
+def lines(df: DataFrame, order: Sequence[str], start: int = 0, count: int | None = None) -> DataFrame:
+    """Rows as text, one JSON line each, as a dump prints them."""
+    return dump(df, order, start, count).select(F.to_json(F.struct(*df.columns)).alias("line"))
+
+
 def pick(df: DataFrame, column: str, numbers: Sequence[int]) -> DataFrame:
     return df.where(F.col(column).isin(*numbers))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one table has more often than the other, with ``side`` (- only in a, + only in b)."""
-    return a.exceptAll(b).withColumn("side", F.lit("-")).unionByName(b.exceptAll(a).withColumn("side", F.lit("+")))
+    signed = a.withColumn("_n", F.lit(-1)).unionByName(b.withColumn("_n", F.lit(1)))
+    more = signed.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") < 0, "-").otherwise("+")
+    return more.select(*a.columns, side.alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n")))).drop("col")
 
 
 def run_counts(df: DataFrame, path: str, weight: str) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 SOURCE, PREFIX = "source_column", "source_prefix"
 UNSET = -999
+#: What a column may become besides itself: whole numbers a wider one, or true where they aren't 0. A long
+#: may become an int, as the native one of a machine's word size may; it overflows loudly.
 _WIDER = {
-    "tinyint": ("smallint", "int", "bigint", "float", "double"), "smallint": ("int", "bigint", "float", "double"), "int": ("bigint", "double", "float"),
-    "bigint": ("decimal(20,0)",), "float": ("double",), "boolean": ("int", "bigint"), "double": ("float",), "string": (), "decimal(20,0)": (),
+    "tinyint": ("smallint", "int", "bigint", "boolean"), "smallint": ("int", "bigint", "boolean"), "int": ("bigint", "boolean"),
+    "bigint": ("int", "decimal(20,0)", "boolean"), "float": ("double",), "boolean": (), "double": (), "string": (), "decimal(20,0)": ("boolean",),
 }
 
 
@@ -24,7 +26,10 @@ def converted(value: Column, have: T.DataType, want: T.DataType) -> Column:
     return value.cast(want)
 
 
-def _each(values: Column, kind: T.DataType) -> Column:
+def _each(values: Column, have: T.DataType, kind: T.DataType) -> Column:
+    if not isinstance(have, T.ArrayType):
+        raise TypeError(f"{have.simpleString()} is no repeated column")
+    converted(values, have.elementType, kind)
     return F.transform(values, lambda x: x.cast(kind))
 
 
@@ -41,7 +46,7 @@ def _nested(df: DataFrame, schema: T.StructType, prefix: str) -> list[Column]:
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             inner = f.dataType.elementType
             names = [(g, prefix + f.metadata.get(PREFIX, "") + g.metadata.get(SOURCE, g.name)) for g in inner.fields]
-            out.append(zipped({g.name: _each(F.col(c), g.dataType) for g, c in names if c in have}, [g.name for g, _ in names], {g.name: g.dataType for g, _ in names}).alias(f.name))
+            out.append(zipped({g.name: _each(F.col(c), have[c], g.dataType) for g, c in names if c in have}, [g.name for g, _ in names], {g.name: g.dataType for g, _ in names}).alias(f.name))
         else:
             c = prefix + f.metadata.get(SOURCE, f.name)
             value = converted(F.col(c), have[c], f.dataType) if c in have else F.lit(None).cast(f.dataType)

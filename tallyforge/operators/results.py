@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .fill import CELL
 
 
-def merge(*cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds up equal cells of all inputs, in one aggregation; the order doesn't matter."""
+def merge(*cells: DataFrame, keys: Sequence[str] = (), axes: Sequence[dict[str, tuple]] = ()) -> DataFrame:
+    """Adds up equal cells of all inputs, in one aggregation; the order doesn't matter. ``axes``: the
+    books' kinds (``Store.book.kinds``) of the inputs, which must agree."""
+    for other in axes[1:]:
+        check_axes(axes[0], other)
     whole = cells[0]
     for c in cells[1:]:
         whole = whole.unionByName(c)
@@ -101,15 +104,16 @@ def clamped_sum(cells: DataFrame, path: Column) -> DataFrame:
 
 
 def ratio(data: DataFrame, model: DataFrame) -> DataFrame:
-    """Data over model by bin (bx, sumw, sumw2)."""
+    """Data over model by bin (bx, sumw, sumw2); 0 where the model is not above 0."""
     both = _sides(data, model)
-    return both.withColumn("ratio", F.try_divide("d", "m"))
+    return both.withColumn("ratio", F.when(F.col("m") > 0, F.try_divide("d", "m")).otherwise(0.0))
 
 
 def pull(data: DataFrame, model: DataFrame) -> DataFrame:
-    """(d - m) / sqrt(var m + max(sigma d, 1)^2)."""
+    """(d - m) / sqrt(var m + max(sigma d, 1)^2); 0 where there are no data."""
     both = _sides(data, model)
-    return both.withColumn("pull", (F.col("d") - F.col("m")) / F.sqrt(F.col("m2") + F.greatest(F.col("d2"), F.lit(1.0))))
+    pulled = (F.col("d") - F.col("m")) / F.sqrt(F.col("m2") + F.greatest(F.col("d2"), F.lit(1.0)))
+    return both.withColumn("pull", F.when(F.col("d") > 0, pulled).otherwise(0.0))
 
 
 def _sides(data: DataFrame, model: DataFrame) -> DataFrame:
@@ -135,14 +139,16 @@ def systematic_error(shifts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return each.groupBy(*keys).agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("syst"))
 
 
-def round_to_error(value: float, error: float, digits: int = 2) -> tuple[float, float]:
-    """Both rounded so that the error shows ``digits`` digits."""
+def round_to_error(value: float, error: float, digits: int = 2, most: int = 2) -> tuple[float, float]:
+    """Both rounded so that the error shows ``digits`` digits, to ``most`` decimals; the value keeps
+    a digit of its own where that rounds it to 0."""
     import math
 
-    if not error or math.isnan(error):
+    if math.isnan(error) or math.isnan(value):
         return value, error
-    places = digits - 1 - math.floor(math.log10(abs(error)))
-    return round(value, places), round(error, places)
+    decade = lambda x: math.floor(math.log10(abs(x))) if x else 0
+    places = min(digits - 1 - decade(error), most)
+    return round(value, max(places, -decade(value))), round(error, places)
 
 
 def listing(cells: DataFrame, bins: dict[str, int] | None = None) -> DataFrame:
@@ -168,9 +174,11 @@ def cut_table(flows: DataFrame, samples: Sequence[str], background: Sequence[str
     return value.orderBy("ordinal")
 
 
-def stacked(cells: DataFrame, first: str = "QCD") -> DataFrame:
-    """Paths in the order in which they are stacked: ``first``, then by their sums."""
-    return cells.groupBy("path").agg(F.sum("sumw").alias("integral")).withColumn("place", F.row_number().over(Window.orderBy(F.col("path") != first, "integral", "path")))
+def stacked(cells: DataFrame, bins: int, first: str = "QCD") -> DataFrame:
+    """Paths in the order in which they are stacked: ``first``, then by their integrals over the
+    ``bins`` inner bins."""
+    inner = F.when(F.col("bx").between(1, bins), F.col("sumw")).otherwise(0.0)
+    return cells.groupBy("path").agg(F.sum(inner).alias("integral")).withColumn("place", F.row_number().over(Window.orderBy(F.col("path") != first, "integral", "path")))
 
 
 def as_latex(rows: list, columns: Sequence[str], digits: int = 2) -> str:

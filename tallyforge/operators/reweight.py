@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,10 +26,11 @@ def reweight(cells: DataFrame, weights: DataFrame) -> DataFrame:
     that carry a weight already, or samples that repeat, are refused."""
     if "reweighted" in cells.columns:
         raise ValueError("these cells are reweighted already")
-    if not weights.groupBy("sample").count().where("count > 1").isEmpty():
-        raise ValueError("a sample has several weights")
+    several = F.raise_error(F.concat(F.lit("several weights of sample "), F.col("sample")))
+    one = weights.groupBy("sample").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    one = one.select("sample", F.when(F.col("n") == 1, F.col("weight")).otherwise(several.cast("double")).alias("weight"))
     w = F.coalesce("weight", F.lit(0.0))
-    scaled = cells.join(weights.select("sample", "weight"), "sample", "left")
+    scaled = cells.join(one, "sample", "left")
     return scaled.withColumns({"sumw": F.col("sumw") * w, "sumw2": F.col("sumw2") * w * w, "entries": (F.col("entries") * w).cast("long")}).drop("weight").withColumn("reweighted", F.lit(True))
 
 
@@ -61,10 +62,31 @@ def missing_samples(sets: DataFrame, samples: DataFrame) -> DataFrame:
     return sets.join(samples, "sample", "left_anti")
 
 
-def postprocess(cells: DataFrame, samples: DataFrame, xs: DataFrame, sets: DataFrame, lumi: float) -> DataFrame:
-    """Per-run cells to per-set cells: merged by sample, weighted, added up. ``cells`` has
-    ``sample``; one aggregation by sample and one by set."""
-    from .results import merge
+def split_by_simulation(cells: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(data, simulated) cells by what ``samples`` (sample, simulation) says of theirs."""
+    kinds = samples.groupBy("sample").agg(F.bool_and("simulation").alias("simulation"), F.count_distinct("simulation").alias("n"))
+    mixed = F.raise_error(F.concat(F.lit("data and simulation in sample "), F.col("sample")))
+    known = kinds.select("sample", F.when(F.col("n") == 1, F.col("simulation")).otherwise(mixed.cast("boolean")).alias("simulation"))
+    both = cells.join(known, "sample")
+    return both.where("not simulation").drop("simulation"), both.where("simulation").drop("simulation")
+
+
+def set_listing(sets: DataFrame) -> DataFrame:
+    """Each set's samples, in order, as one text."""
+    return sets.groupBy("set_name").agg(F.array_join(F.array_sort(F.collect_set(F.col("sample").cast("string"))), " ").alias("samples"))
+
 
-    merged = merge(cells, keys=["sample"])
-    return into_sets(reweight(merged, sample_weights(samples, xs, lumi)).drop("reweighted"), sets)
+def luminosity_table(sets: DataFrame, samples: DataFrame) -> DataFrame:
+    """A row for each sample of each set: cross section with its factor, events, weights and
+    luminosity (null where there are no counts), and the set's whole cross section."""
+    known = sets.join(samples.select("sample", "event_count", "sum_w"), "sample", "left")
+    whole = F.sum(F.col("xs") * F.col("k")).over(Window.partitionBy("set_name"))
+    lumi = F.try_divide(F.col("sum_w"), F.col("xs") * F.col("k") * F.col("filter") * 1000.0)
+    return known.select("set_name", "sample", (F.col("xs") * F.col("k")).alias("xs"), "event_count", "sum_w", lumi.alias("lumi"), whole.alias("set_xs"))
+
+
+def postprocess(cells: DataFrame, samples: DataFrame, xs: DataFrame, sets: DataFrame, lumi: float) -> DataFrame:
+    """Cells by sample to cells by set: weighted and added up, in one aggregation. ``cells`` has
+    ``sample``, and a row for each cell of it; entries are cut to whole numbers by sample, so cells
+    of several runs are merged first (``results.merge`` by sample)."""
+    return into_sets(reweight(cells, sample_weights(samples, xs, lumi)).drop("reweighted"), sets)

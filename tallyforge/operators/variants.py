@@ -40,13 +40,19 @@ def fan_out(events: DataFrame, channels: Mapping[str, Column] | None = None, sys
     return rows.withColumn(VARIANT, prefix)
 
 
-def skim_events(events: DataFrame, keep: Column, systematics: Mapping[str, Mapping[str, Column]] | None = None) -> DataFrame:
-    """Events for which ``keep`` holds as they are or with any systematic's shifts: a filter, as
-    all variants of an event are within its row. For conditions on the variant itself, ``skim``."""
-    rows = events.withColumn("_row", F.struct(*events.columns)).withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    for columns in (systematics or {}).values():
-        rows = rows.withColumns(dict(columns)).withColumn("_keep", F.col("_keep") | F.coalesce(keep, F.lit(False)))
-        rows = rows.withColumns({c: F.col("_row")[c] for c in columns})
+def skim_events(events: DataFrame, keep: Column, systematics: Mapping[str, Mapping[str, Column]] | None = None, channels: Mapping[str, Column] | None = None) -> DataFrame:
+    """Events for which ``keep`` holds in any variant, that is as they are, or with a systematic's shifts,
+    or in a channel they are in: a filter, as all variants of an event are within its row. ``keep``
+    may name ``systematic``, ``channel`` and ``variant``."""
+    names = ["systematic", "channel", VARIANT]
+    rows = events.withColumn("_row", F.struct(*events.columns)).withColumn("_keep", F.lit(False))
+    for systematic, columns in [("", {}), *(systematics or {}).items()]:
+        rows = rows.withColumns({c: v for c, v in columns.items()}) if columns else rows
+        for channel, test in [("", F.lit(True)), *(channels or {}).items()]:
+            prefix = (f"systematic/{systematic}/" if systematic else "") + (f"channel/{channel}/" if channel else "")
+            rows = rows.withColumns({n: F.lit(v) for n, v in zip(names, (systematic, channel, prefix), strict=True)})
+            rows = rows.withColumn("_keep", F.col("_keep") | F.coalesce(test & keep, F.lit(False)))
+        rows = rows.withColumns({c: F.col("_row")[c] for c in columns}) if columns else rows
     return rows.where("_keep").select("_row.*")
 
 

@@ -2,21 +2,31 @@
 
 A file is a row of segments; each has its own magic bytes, header, classes and footer. Records are
 framed by a little-endian size whose top bit says that a class id follows; ids from 100 to
-200 are the stream's own, odd ones are metadata. Sections may be compressed by zlib or gzip.
-
-Files are read as Spark's binary files, so from any file system it knows, one task for each file,
-which is the format's own unit of parallel reading.
+200 are the stream's own, odd ones are metadata. Sections may be compressed by zlib or gzip. A footer
+says how long its segment is and where its classes and its metadata are.
+
+Reading is a data source of Spark: one task for each segment, whose footers are walked from a file's
+end, and which is decompressed and decoded as it is read, so neither files nor segments are held
+whole. With the footers' offsets the metadata can be read alone, and a block without the ones before.
+Writing is by tasks too, a file for each segment. Files are reached through ``pyarrow.fs``, so they
+may be on any file system it knows.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .records import Classes, descriptor, encoded, fields, schema_of
 
 # Fixed values of the format.
 START_MAGIC = b"A4STREAM"
@@ -25,215 +35,456 @@ HEADER, FOOTER, START_COMPRESSED, END_COMPRESSED, CLASS = 100, 102, 104, 106, 10
 ZLIB, GZIP = 0, 1
 
 _TOP = 1 << 31
+#: Files beyond this number aren't opened on the driver: each is one task, which walks its segments.
+WALKED = 1000
 SCHEMA = "path string, segment int, position long, class_id int, class_name string, is_metadata boolean, forward boolean, record binary, json string"
+_COLUMNS = {"segment": pa.int32(), "position": pa.int64(), "class_id": pa.int32(), "class_name": pa.string(), "is_metadata": pa.bool_(), "forward": pa.bool_(), "record": pa.binary(), "json": pa.string()}
 
 
-def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
-    """(number, value) of each field of an encoded record."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        value = shift = 0
-        while True:
-            b = raw[at]
-            at += 1
-            value |= (b & 127) << shift
-            if b < 128:
-                return value
-            shift += 7
-
-    while at < len(raw):
-        key = varint()
-        kind = key & 7
-        if kind == 0:
-            yield key >> 3, varint()
-        elif kind in (1, 5):
-            size = 8 if kind == 1 else 4
-            yield key >> 3, raw[at : at + size]
-            at += size
-        elif kind == 2:
-            size = varint()
-            yield key >> 3, raw[at : at + size]
-            at += size
-        else:
-            raise ValueError(f"no such wire type: {kind}")
-
+def _filesystem(path: str):
+    from pyarrow import fs
 
-class Classes:
-    """The record classes that a segment declares."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1) if path.startswith("file:") else f"/{path}")
 
-    def __init__(self):
-        from google.protobuf import descriptor_pool
 
-        self.pool, self.names, self.found = descriptor_pool.DescriptorPool(), {}, {}
+def files_of(path: str) -> list[str]:
+    """The file ``path``, or the files in the folder ``path``."""
+    from pyarrow import fs
 
-    def declare(self, raw: bytes) -> None:
-        from google.protobuf import descriptor_pb2
+    system, name = _filesystem(path)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return [path]
+    root = path[: len(path) - len(name)] if path.endswith(name) else ""
+    return sorted(root + x.path for x in system.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 
-        class_id = name = None
-        for number, value in fields(raw):
-            if number == 1:
-                class_id = value
-            elif number == 2:
-                name = value.decode()
-            elif number == 3:
-                file = descriptor_pb2.FileDescriptorProto.FromString(value)
-                try:
-                    self.pool.FindFileByName(file.name)
-                except KeyError:
-                    self.pool.Add(file)
-        self.names[class_id] = name
 
-    def json(self, class_id: int, raw: bytes) -> str | None:
-        from google.protobuf import json_format, message_factory
+class _Source:
+    """Takes bytes from an open file, or from a compressed section of it, as they are needed."""
 
-        if class_id not in self.names:
-            return None
-        if class_id not in self.found:
-            self.found[class_id] = message_factory.GetMessageClass(self.pool.FindMessageTypeByName(self.names[class_id]))
-        return json_format.MessageToJson(self.found[class_id].FromString(raw), preserving_proto_field_name=True, indent=None)
+    STEP = 1 << 16
 
-
-class _Bytes:
-    """Takes bytes from a buffer, or from a compressed section of it."""
-
-    def __init__(self, raw: bytes):
-        self.raw, self.at, self.inner = raw, 0, None
+    def __init__(self, file):
+        self.file, self.inner, self.held, self.at = file, None, b"", 0
 
     def take(self, n: int) -> bytes:
-        if self.inner is not None:
-            out = self.inner[self.inner_at : self.inner_at + n]
-            self.inner_at += len(out)
+        if self.inner is None:
+            out = self.file.read(n)
         else:
-            out = self.raw[self.at : self.at + n]
+            while len(self.held) - self.at < n and self._more():
+                pass
+            out = self.held[self.at : self.at + n]
             self.at += len(out)
         if len(out) < n:
             raise EOFError("the stream ends within a record")
         return out
 
+    def _more(self) -> bool:
+        raw = b"" if self.inner.eof else self.file.read(self.STEP)
+        if not raw:
+            return False
+        self.held, self.at = self.held[self.at :] + self.inner.decompress(raw), 0
+        if self.inner.eof:
+            self.file.seek(self.file.tell() - len(self.inner.unused_data))
+        return True
+
     def start(self, compression: int) -> None:
         if compression not in (ZLIB, GZIP):
             raise NotImplementedError(f"compression {compression}; zlib and gzip can be read")
-        unpack = zlib.decompressobj(15 if compression == ZLIB else 31)
-        self.inner, self.inner_at = unpack.decompress(self.raw[self.at :]), 0
-        self.at = len(self.raw) - len(unpack.unused_data)
+        self.inner, self.held, self.at = zlib.decompressobj(15 if compression == ZLIB else 31), b"", 0
 
     def stop(self) -> None:
+        while not self.inner.eof and self._more():
+            pass
         self.inner = None
 
-
-def records(raw: bytes, internal: bool = False) -> Iterator[dict]:
-    """All records of a file, in order."""
-    source, segment = _Bytes(raw), 0
-    while source.at < len(raw):
-        if source.take(8) != START_MAGIC:
-            raise ValueError("no stream begins here")
-        classes, position, forward = Classes(), 0, False
-        while True:
-            size = struct.unpack("<I", source.take(4))[0]
-            class_id = 0
-            if size & _TOP:
-                size, class_id = size & (_TOP - 1), struct.unpack("<I", source.take(4))[0]
-            record = source.take(size)
-            if class_id == HEADER:
-                forward = any(n == 5 and v for n, v in fields(record))
-            elif class_id == CLASS:
-                classes.declare(record)
-            elif class_id == START_COMPRESSED:
-                source.start(next((v for n, v in fields(record) if n == 1), ZLIB))
-            elif class_id == END_COMPRESSED:
-                source.stop()
-            own = 100 <= class_id <= 200
-            if internal or not own:
-                yield {
-                    "segment": segment, "position": position, "class_id": class_id, "class_name": classes.names.get(class_id), "is_metadata": not own and class_id % 2 == 1,
-                    "forward": forward, "record": record, "json": None if own else classes.json(class_id, record),
-                }
-                position += 1
-            if class_id == FOOTER:
-                if struct.unpack("<I", source.take(4))[0] != size or source.take(8) != END_MAGIC:
-                    raise ValueError("a damaged footer")
-                break
-        segment += 1
-
-
-def read_streams(spark: SparkSession, paths: str | list[str], internal: bool = False) -> DataFrame:
-    """Every record of the files as ``SCHEMA``; ``internal`` also gives the stream's own ones."""
+    def record(self) -> tuple[int, bytes]:
+        size, class_id = struct.unpack("<I", self.take(4))[0], 0
+        if size & _TOP:
+            size, class_id = size & (_TOP - 1), struct.unpack("<I", self.take(4))[0]
+        return class_id, self.take(size)
+
+
+@dataclass
+class Segment(InputPartition):
+    """A segment of a file: where it begins and where its footer does; -1 if that isn't known."""
+
+    path: str
+    number: int = 0
+    start: int = 0
+    footer: int = -1
+
+
+@dataclass
+class Footer:
+    size: int
+    metadata: list[int]
+    classes: list[int]
+    counts: dict[int, int]
+
+
+def _footer(raw: bytes) -> Footer:
+    found = Footer(0, [], [], {})
+    for number, value in fields(raw):
+        if number == 1:
+            found.size = value
+        elif number in (2, 3):
+            (found.metadata if number == 2 else found.classes).append(value)
+        elif number == 4:
+            one = dict(fields(value))
+            found.counts[one[1]] = one[2]
+    return found
+
+
+def segments(path: str) -> list[Segment]:
+    """The segments of a file by its footers, from the end; one of unknown length if it wasn't closed."""
+    system, name = _filesystem(path)
+    with system.open_input_file(name) as file:
+        end, found = file.size(), []
+        while end > 0:
+            file.seek(max(0, end - 12))
+            tail = file.read(12)
+            size = struct.unpack("<I", tail[:4])[0] if len(tail) == 12 and tail[4:] == END_MAGIC else None
+            if size is None or size + 20 > end:
+                return [Segment(path)]
+            at = end - 12 - size
+            file.seek(at)
+            start = at - 8 - _footer(file.read(size)).size
+            found.append(Segment(path, 0, start, at - 8))
+            end = start
+    for number, s in enumerate(reversed(found)):
+        s.number = number
+    return found[::-1]
+
+
+def _forward(raw: bytes) -> bool:
+    return any(n == 5 and v for n, v in fields(raw))
+
+
+def records(source: _Source, path: str, number: int, internal: bool = False, json: bool = True, classes: Classes | None = None, forward: bool = False, to: int | None = None) -> Iterator[dict]:
+    """The records from where ``source`` is to the end of its segment, in order, or to the offset ``to``."""
+    position, opened = 0, classes is not None
+    if not opened:
+        if source.file.read(8) != START_MAGIC:
+            raise ValueError(f"{path}: no stream begins here")
+        classes = Classes()
+    while to is None or source.inner is not None or source.file.tell() < to:
+        class_id, record = source.record()
+        if class_id == HEADER:
+            forward = _forward(record)
+        elif class_id == CLASS:
+            classes.declare(record)
+        elif class_id == START_COMPRESSED:
+            source.start(next((v for n, v in fields(record) if n == 1), ZLIB))
+        elif class_id == END_COMPRESSED:
+            source.stop()
+        own = 100 <= class_id <= 200
+        if internal or not own:
+            yield {
+                "segment": number, "position": position, "class_id": class_id, "class_name": classes.names.get(class_id), "is_metadata": not own and class_id % 2 == 1,
+                "forward": forward, "record": record, "json": None if own or not json else classes.json(class_id, record),
+            }
+            position += 1
+        if class_id == FOOTER:
+            if struct.unpack("<I", source.take(4))[0] != len(record) or source.take(8) != END_MAGIC:
+                raise ValueError(f"{path}: a damaged footer")
+            break
+
+
+class StreamReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths = [p for p in options["paths"].split("\n") if p]
+        flag = lambda name, default: str(options.get(name, default)).lower() == "true"
+        self.internal, self.json, self.metadata = flag("internal", False), flag("json", True), flag("metadata", False)
+        self.block = int(options["block"]) if options.get("block") else None
+
+    def partitions(self) -> Sequence[Segment]:
+        files = [f for p in self.paths for f in files_of(p)]
+        if len(set(files)) != len(files):
+            raise ValueError("a file is named twice")
+        return [s for f in files for s in (segments(f) if len(files) <= WALKED else [Segment(f)])] or [Segment("")]
+
+    def read(self, part: Segment) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
+        whole = segments(part.path) if part.footer < 0 else [part]
+        held = []
+        for segment in whole:
+            for row in self._rows(segment):
+                held.append(row)
+                if len(held) == 1000:
+                    yield self._batch(part.path, held)
+                    held = []
+        if held:
+            yield self._batch(part.path, held)
+
+    def _batch(self, path, held):
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), *[pa.array([r[n] for r in held], k) for n, k in _COLUMNS.items()]], ["path", *_COLUMNS])
+
+    def _rows(self, segment: Segment) -> Iterator[dict]:
+        system, name = _filesystem(segment.path)
+        with system.open_input_file(name) as file:
+            file.seek(segment.start)
+            source = _Source(file)
+            if segment.footer >= 0 and (self.block is not None or self.metadata):
+                yield from self._sought(source, segment)
+                return
+            number, end = segment.number, file.size() if segment.footer < 0 else segment.footer
+            while file.tell() < end:
+                yield from records(source, segment.path, number, self.internal, self.json)
+                number += 1
+
+    def _sought(self, source: _Source, segment: Segment) -> Iterator[dict]:
+        """The metadata alone, or one block with its metadata, by the footer's offsets."""
+        file = source.file
+        file.seek(segment.footer)
+        footer = _footer(source.record()[1])
+        file.seek(segment.start + len(START_MAGIC))
+        forward, classes = _forward(source.record()[1]), Classes()
+        first = file.tell()
+        for at in footer.classes:
+            file.seek(segment.start + at)
+            classes.declare(source.record()[1])
+        places = [segment.start + at for at in footer.metadata]
+        for k, at in enumerate(places):
+            file.seek(at)
+            class_id, record = source.record()
+            if class_id % 2 == 0:
+                raise ValueError(f"{segment.path}: no metadata at the footer's offset")
+            if self.block not in (None, k):
+                continue
+            yield {"segment": segment.number, "position": -1 if forward else 1 << 40, "class_id": class_id, "class_name": classes.names.get(class_id), "is_metadata": True, "forward": forward, "record": record, "json": classes.json(class_id, record) if self.json else None}
+            if self.block == k:
+                begin, end = (file.tell(), [*places, segment.footer][k + 1]) if forward else ([first, *places][k], at)
+                file.seek(begin)
+                rows = records(source, segment.path, segment.number, False, self.json, classes, forward, end)
+                yield from (r for r in rows if not r["is_metadata"])
+
+
+class StreamSource(DataSource):
+    """``spark.read.format("record_stream")``; options: paths (one a line), internal, metadata, block, json."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "record_stream"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return StreamReader(self.options)
+
+
+def read_streams(spark: SparkSession, paths: str | list[str], internal: bool = False, metadata_only: bool = False, block: int | None = None, json: bool = True) -> DataFrame:
+    """Every record of the files (or of the files in folders) as ``SCHEMA``; ``internal`` also gives the
+    stream's own ones; ``metadata_only`` reads nothing but metadata, and ``block`` one block of each
+    segment, both by the footers' offsets; without ``json`` records stay encoded."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if len(set(paths)) != len(paths):
         raise ValueError("a file is named twice")
-    kinds = {"segment": pa.int32(), "position": pa.int64(), "class_id": pa.int32(), "class_name": pa.string(), "is_metadata": pa.bool_(), "forward": pa.bool_(), "record": pa.binary(), "json": pa.string()}
+    spark.dataSource.register(StreamSource)
+    reader = spark.read.format("record_stream").option("paths", "\n".join(paths)).option("internal", str(internal)).option("metadata", str(metadata_only)).option("json", str(json))
+    return (reader if block is None else reader.option("block", str(block))).load()
+
+
+def footers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, segment, size, class_id, class_name and count of every segment, from footers alone."""
+    named = [paths] if isinstance(paths, str) else list(paths)
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                held = []
-                for row in records(content.as_py(), internal):
-                    held.append(row)
-                    if len(held) == 1000:
-                        yield rows(path, held)
-                        held = []
-                if held:
-                    yield rows(path, held)
+            out = []
+            for path in batch.column("path").to_pylist():
+                system, name = _filesystem(path)
+                with system.open_input_file(name) as file:
+                    for s in segments(path):
+                        source, classes = _Source(file), Classes()
+                        file.seek(s.footer)
+                        found = _footer(source.record()[1])
+                        for at in found.classes:
+                            file.seek(s.start + at)
+                            classes.declare(source.record()[1])
+                        out += [(path, s.number, found.size, i, classes.names.get(i), n) for i, n in found.counts.items()]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "segment", "size", "class_id", "class_name", "count"])
+
+    files = spark.createDataFrame([(f,) for p in named for f in files_of(p)], "path string")
+    return files.repartition("path").mapInArrow(run, "path string, segment int, size long, class_id int, class_name string, count long")
+
+
+def class_schemas(path: str) -> dict[str, T.StructType]:
+    """The schema of each class that the first segment of a file declares."""
+    segment = segments(files_of(path)[0])[0]
+    system, name = _filesystem(segment.path)
+    with system.open_input_file(name) as file:
+        source, classes = _Source(file), Classes()
+        if segment.footer < 0:
+            raise ValueError(f"{path} has no footer")
+        file.seek(segment.footer)
+        for at in _footer(source.record()[1]).classes:
+            file.seek(segment.start + at)
+            classes.declare(source.record()[1])
+    return {n: schema_of(classes.pool.FindMessageTypeByName(n)) for n in classes.names.values()}
+
+
+def _texts_for_longs(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _texts_for_longs(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_texts_for_longs(kind.elementType))
+    return T.StringType() if isinstance(kind, (T.LongType, T.DecimalType)) else kind
+
+
+def parsed(json: Column, schema: T.StructType) -> Column:
+    """Records' JSON, in which long numbers are texts, as ``schema``."""
+    return F.from_json(json, _texts_for_longs(schema)).cast(schema)
+
+
+def of_class(stream: DataFrame, name: str, schema: str | T.StructType) -> DataFrame:
+    """The records of one class as columns of ``schema``; fields that are absent are null."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = stream.where(F.col("class_name") == name).withColumn("_r", parsed(F.col("json"), schema))
+    return rows.select("path", "segment", "position", "is_metadata", "forward", "_r.*")
 
-    def rows(path, held):
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), *[pa.array([r[n] for r in held], k) for n, k in kinds.items()]], ["path", *kinds])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.repartition("path").mapInArrow(run, SCHEMA)
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
 
 
-def of_class(stream: DataFrame, name: str, schema: str) -> DataFrame:
-    """The records of one class as columns of ``schema``; fields that are absent are null."""
-    parsed = stream.where(F.col("class_name") == name).withColumn("_r", F.from_json("json", schema))
-    return parsed.select("path", "segment", "position", "is_metadata", "forward", "_r.*")
+def _number(number: int, value: int) -> bytes:
+    return _varint(number << 3) + _varint(value)
 
 
-def write_stream(messages: list, path: str, metadata: set[str] = frozenset(), forward: bool = True, compression: int | None = ZLIB) -> None:
-    """Writes protobuf ``messages`` in order as one segment; classes named in ``metadata`` get odd
-    ids. For files of one task's size; tables are better written as Parquet."""
+def _text(number: int, value: bytes) -> bytes:
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
 
-    def field(number: int, kind: int, value: bytes) -> bytes:
-        return varint(number << 3 | kind) + value
+class SegmentWriter:
+    """Writes one segment to an open file. Classes and metadata stand between compressed sections, so
+    that the footer's offsets lead to them."""
 
-    def varint(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
+    def __init__(self, out, forward: bool = True, compression: int | None = ZLIB, level: int = 1):
+        self.out, self.at, self.compression, self.level, self.pack = out, 0, compression, level, None
+        self.ids, self.files, self.counts, self.metadata_at, self.classes_at = {}, set(), {}, [], []
+        self._raw(START_MAGIC)
+        self._raw(self._framed(HEADER, _number(1, 2) + (_number(5, 1) if forward else b"")))
 
-    def text(number: int, value: bytes) -> bytes:
-        return field(number, 2, varint(len(value)) + value)
+    def _raw(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
 
-    def framed(class_id: int, raw: bytes) -> bytes:
+    def _framed(self, class_id: int, raw: bytes) -> bytes:
+        self.counts[class_id] = self.counts.get(class_id, 0) + 1
         return struct.pack("<II", len(raw) | _TOP, class_id) + raw
 
-    body, ids, files, counts = b"", {}, set(), {}
+    def _open(self) -> None:
+        if self.pack is None and self.compression is not None:
+            self._raw(self._framed(START_COMPRESSED, _number(1, self.compression)))
+            self.pack = zlib.compressobj(self.level, zlib.DEFLATED, 15 if self.compression == ZLIB else 31)
+
+    def _close(self) -> None:
+        if self.pack is not None:
+            self._raw(self.pack.compress(self._framed(END_COMPRESSED, b"")) + self.pack.flush())
+            self.pack = None
+
+    def class_id(self, name: str, files: Sequence, metadata: bool) -> int:
+        """The id of a class, which is declared with the ``files`` it needs when it is first used."""
+        if name not in self.ids:
+            own = 200 + 2 * len(self.ids) + (1 if metadata else 2)
+            declared = _number(1, own) + _text(2, name.encode())
+            for file in files:
+                if file.name not in self.files:
+                    self.files.add(file.name)
+                    declared += _text(3, file.SerializeToString())
+            self._close()
+            self.classes_at.append(self.at)
+            self._raw(self._framed(CLASS, declared))
+            self.ids[name] = own
+        if metadata != (self.ids[name] % 2 == 1):
+            raise ValueError(f"{name} is either metadata or content")
+        return self.ids[name]
+
+    def write(self, class_id: int, raw: bytes) -> None:
+        if class_id % 2:
+            self._close()
+            self.metadata_at.append(self.at)
+            self._raw(self._framed(class_id, raw))
+        else:
+            self._open()
+            framed = self._framed(class_id, raw)
+            self._raw(framed if self.pack is None else self.pack.compress(framed))
+
+    def finish(self) -> None:
+        self._close()
+        counts = sorted(self.counts.items())
+        footer = _number(1, self.at) + b"".join(_number(2, x) for x in self.metadata_at) + b"".join(_number(3, x) for x in self.classes_at)
+        footer += b"".join(_text(4, _number(1, i) + _number(2, n)) for i, n in counts)
+        self._raw(self._framed(FOOTER, footer) + struct.pack("<I", len(footer)) + END_MAGIC)
 
-    def dependencies(file):
+
+def write_stream(messages: list, path: str, metadata: set[str] = frozenset(), forward: bool = True, compression: int | None = ZLIB) -> None:
+    """Writes protobuf ``messages`` in order as one segment; classes named in ``metadata`` get odd ids."""
+    from google.protobuf import descriptor_pb2
+
+    def files(file):
         for d in file.dependencies:
-            yield from dependencies(d)
-        yield file
-
-    for m in messages:
-        name = m.DESCRIPTOR.full_name
-        if name not in ids:
-            ids[name] = 200 + 2 * len(ids) + (1 if name in metadata else 2)
-            declared = field(1, 0, varint(ids[name])) + text(2, name.encode())
-            for file in dependencies(m.DESCRIPTOR.file):
-                if file.name not in files:
-                    files.add(file.name)
-                    declared += text(3, file.serialized_pb)
-            body += framed(CLASS, declared)
-        body += framed(ids[name], m.SerializeToString())
-        counts[ids[name]] = counts.get(ids[name], 0) + 1
-    head = START_MAGIC + framed(HEADER, field(1, 0, varint(2)) + (field(5, 0, varint(1)) if forward else b""))
-    if compression is not None:
-        pack = zlib.compressobj(1, zlib.DEFLATED, 15 if compression == ZLIB else 31)
-        inner = pack.compress(body + framed(END_COMPRESSED, b"")) + pack.flush()
-        body = framed(START_COMPRESSED, field(1, 0, varint(compression))) + inner
-    raw = head + body
-    footer = field(1, 0, varint(len(raw))) + b"".join(text(4, field(1, 0, varint(i)) + field(2, 0, varint(n))) for i, n in counts.items())
-    with open(path, "wb") as out:
-        out.write(raw + framed(FOOTER, footer) + struct.pack("<I", len(footer)) + END_MAGIC)
+            yield from files(d)
+        yield descriptor_pb2.FileDescriptorProto.FromString(file.serialized_pb)
+
+    system, name = _filesystem(path)
+    with system.open_output_stream(name) as out:
+        writer = SegmentWriter(out, forward, compression)
+        for m in messages:
+            own = m.DESCRIPTOR.full_name
+            writer.write(writer.class_id(own, [] if own in writer.ids else list(files(m.DESCRIPTOR.file)), own in metadata), m.SerializeToString())
+        writer.finish()
+
+
+def write_streams(stream: DataFrame, path: str, segment: str, order: Sequence[str], metadata: Sequence[str] = (), forward: bool = True, compression: int | None = ZLIB) -> DataFrame:
+    """Writes ``stream`` as one file a segment below ``path``, by tasks; returns file, segment and records.
+
+    Every column but ``segment`` and ``order`` is a struct named as its class, and a row is a record of
+    the class whose struct isn't null; those in ``metadata`` are metadata. A segment is one file's worth
+    of rows: it is sorted and written by one task. Files of attempts that didn't count aren't listed."""
+    names = [c for c in stream.columns if c != segment and c not in order]
+    kinds = {c: descriptor(c, stream.schema[c].dataType) for c in names}
+    spark = stream.sparkSession
+    rows = stream.select(F.col(segment).cast("string").alias("_segment"), *order, *names).repartition("_segment").sortWithinPartitions("_segment", *order).drop(*order)
+
+    def run(batches):
+        classes, current, writer, out, listed = Classes(), None, None, None, []
+        for file in kinds.values():
+            classes.add(file)
+        messages = {c: classes.of(c)() for c in names}
+
+        def finish():
+            if writer is not None:
+                writer.finish()
+                out.close()
+                listed.append((f"{path}/{file}", current, sum(n for i, n in writer.counts.items() if i > 200)))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if writer is None or row["_segment"] != current:
+                    finish()
+                    current, file = row["_segment"], f"segment-{uuid.uuid4().hex}.stream"
+                    system, folder = _filesystem(path)
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(f"{folder}/{file}")
+                    writer = SegmentWriter(out, forward, compression)
+                for c in names:
+                    if row[c] is not None:
+                        writer.write(writer.class_id(c, [kinds[c]], c in metadata), encoded(messages[c], row[c]))
+        finish()
+        columns = list(zip(*listed, strict=True)) if listed else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["file", "segment", "records"])
+
+    schema = "file string, segment string, records long"
+    rows.mapInArrow(run, schema).write.parquet(f"{path}-files")
+    return spark.read.schema(schema).parquet(f"{path}-files")

@@ -7,22 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fill import CELL, Store
+from ..operators.fill import CELL, Store, may_meet, readings, sums
 
 
 def running_cells(events: DataFrame, store: Store, keys: Sequence[str] = (), event_time: str | None = None, window: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Cells of a streaming ``events`` (for ``update`` or ``complete`` output; with ``event_time``
     and ``window``, also ``append``: a window's cells come out when it can't change any more).
 
-    A stream has one aggregation, so the fills go out of each row by explode."""
-    made = []
-    for f in store.book.fills:
-        one = F.struct(*f.cell(), f.weight.cast("double").alias("w"))
-        made.append(one if f.where is None else F.when(f.where, one))
-    each = F.explode(F.array(*made)).alias("c")
+    A stream has one aggregation and is read once, so the paths of all fills need the same Columns."""
+    keys, fills = list(keys), store.book.fills
     if window:
-        rows = events.withWatermark(event_time, late).select(*keys, event_time, each).where("c IS NOT NULL").select(*keys, event_time, "c.*")
-        by = [*keys, F.window(event_time, window), *CELL]
-    else:
-        rows, by = events.select(*keys, each).where("c IS NOT NULL").select(*keys, "c.*"), [*keys, *CELL]
-    return rows.groupBy(*by).agg(F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"), F.count("*").alias("entries"))
+        events, keys = events.withWatermark(event_time, late), [*keys, event_time]
+    reads = readings(fills, keys)
+    if len(reads) > 1:
+        raise ValueError("the fills of a stream take their paths from the same Columns")
+    rows = reads[0].rows(events)
+    if may_meet(fills):
+        rows = reads[0].named(rows)
+        return rows.groupBy(*[F.window(k, window) if window and k == event_time else k for k in keys], *CELL).agg(*sums())
+    by = [F.window(c, window).alias(c) if window and i == len(keys) - 1 else F.col(c) for i, c in enumerate(reads[0].by)]
+    cells = reads[0].named(rows.groupBy(*by, "cell").agg(*sums()))
+    return cells.withColumnRenamed(event_time, "window") if window else cells

@@ -75,8 +75,16 @@ def test_plans_agree(spark):
     s = Store("p/", F.col("x"))
     for i in range(5):
         s.h1(f"h{i}", Axis(4 + i, 0, 1), F.col("x"), where=F.col("x") > i / 10).passed("c", f"cut{i}", F.col("x") > i / 10)
-    key = lambda r: (r.path, r.kind, r.bx, r.cut, r.ordinal, r.entries, round(r.sumw, 9), round(r.sumw2, 9))
-    assert sorted(map(str, map(key, s.run(events, "union").collect()))) == sorted(map(str, map(key, s.run(events, "explode").collect())))
+    key = lambda r: (r.path, r.kind, r.bx, r.by, r.bz, r.cut, r.ordinal, r.entries, round(r.sumw, 9), round(r.sumw2, 9))
+    s.h2("two", Axis(3, 0, 1), F.col("x"), VariableAxis([0, 0.2, 2]), F.col("x"), weight=F.lit(2.0)).h3("three", Axis(2, 0, 1), F.col("x"), Axis(3, 0, 2), F.col("x"), Axis(4, 0, 1), F.col("x"))
+    s.h1("h0", Axis(4, 0, 1), F.col("x") / 2, weight=F.lit(3.0))
+    s(F.when(F.col("x") > 0.5, "high").otherwise("low"), "/").h1("h", Axis(2, 0, 1), F.col("x")).passed("c", "cut")
+    rows = lambda df: sorted(map(str, map(key, df.collect())))
+    assert rows(s.run(events, "once")) == rows(s.run(events, "union"))
+    keyed = events.withColumn("cell", F.floor(F.col("x") * 3))
+    with_key = lambda r: (r.cell, *key(r))
+    both = [sorted(map(str, map(with_key, s.run(keyed, plan, ["cell"]).collect()))) for plan in ("once", "union")]
+    assert both[0] == both[1] and len(both[0]) > len(rows(s.run(events, "once")))
 
 
 def test_merge_in_any_order(spark):
@@ -220,8 +228,8 @@ def test_reweighting(spark):
     assert {r.sample: (r.sumw, r.sumw2, r.entries) for r in out.collect()} == {"a": (3.0, 9.0, 4), "b": (0.0, 0.0, 0), "d": (1.0, 1.0, 1)}
     with pytest.raises(ValueError):
         reweight.reweight(out, weights)
-    with pytest.raises(ValueError):
-        reweight.reweight(cells, weights.union(weights))
+    with pytest.raises(Exception, match="several weights of sample"):
+        reweight.reweight(cells, weights.union(weights)).collect()
 
 
 def test_vectors(spark):
@@ -302,6 +310,104 @@ def test_native_streams(spark, tmp_path):
         streams.read_streams(spark, str(tmp_path / "bad")).count()
 
 
+def test_stream_offsets(spark, tmp_path):
+    """Blocks and metadata by offsets, forward and backward, and a file that wasn't closed."""
+    from google.protobuf.timestamp_pb2 import Timestamp
+    from google.protobuf.wrappers_pb2 import Int64Value
+
+    def value(r):
+        return Int64Value.FromString(bytes(r.record)).value
+
+    for forward in (True, False):
+        messages = []
+        for block in range(3):
+            own = [Int64Value(value=block * 1000 + i) for i in range(3000)]
+            messages += [Timestamp(seconds=block), *own] if forward else [*own, Timestamp(seconds=block)]
+        path = str(tmp_path / f"blocks-{forward}")
+        streams.write_stream(messages, path, {"google.protobuf.Timestamp"}, forward)
+        assert [s.footer > s.start for s in streams.segments(path)] == [True]
+        got = streams.read_streams(spark, path, block=1).collect()
+        assert sorted(value(r) for r in got if not r.is_metadata) == [1000 + i for i in range(3000)] and sum(r.is_metadata for r in got) == 1
+        heads = streams.read_streams(spark, path, metadata_only=True).collect()
+        assert [Timestamp.FromString(bytes(r.record)).seconds for r in heads] == [0, 1, 2]
+        assert {(r.class_name, r["count"]) for r in streams.footers(spark, path).collect() if r.class_name} == {("google.protobuf.Timestamp", 3), ("google.protobuf.Int64Value", 9000)}
+    raw = (tmp_path / "blocks-True").read_bytes()
+    (tmp_path / "torn").write_bytes(raw[: len(raw) - 5])
+    with pytest.raises(Exception, match="ends within a record|damaged footer"):
+        streams.read_streams(spark, str(tmp_path / "torn")).count()
+
+
+def test_schemas_of_records():
+    from pyspark.sql import types as T
+    from tallyforge.sources import records
+
+    schema = T.StructType().add("a", T.LongType()).add("b", T.ArrayType(T.StructType().add("x", T.DoubleType()).add("t", T.ArrayType(T.StringType())))).add("c", T.StructType().add("d", T.BooleanType()))
+    classes = records.Classes()
+    classes.add(records.descriptor("Event", schema))
+    assert records.schema_of(classes.of("Event").DESCRIPTOR) == schema
+    raw = records.encoded(classes.of("Event")(), {"a": 5, "b": [{"x": 1.5, "t": ["p", "q"]}, {"x": None, "t": []}], "c": {"d": True}})
+    back = classes.of("Event").FromString(raw)
+    assert (back.a, back.b[0].x, list(back.b[0].t), back.b[1].HasField("x"), back.c.d) == (5, 1.5, ["p", "q"], False, True)
+    with pytest.raises(TypeError):
+        records.descriptor("Event", T.StructType().add("m", T.MapType(T.StringType(), T.LongType())))
+
+
+def test_rounding():
+    assert results.round_to_error(1234.5678, 12.3) == (1235.0, 12.0)
+    assert results.round_to_error(1.23456, 0.0123) == (1.23, 0.01)
+    assert results.round_to_error(0.00123, 3.0) == (0.001, 3.0)
+    assert math.isnan(results.round_to_error(1.0, math.nan)[1])
+
+
+def test_configuration(spark, tmp_path):
+    from tallyforge.plans.configuration import Configuration, run
+    from tallyforge.plans.processor import Processor
+
+    class Own(Processor):
+        def __init__(self, cut):
+            self.cut = cut
+
+        def process(self, store):
+            store.passed("c", "all").passed("c", "high", F.col("x") > self.cut)
+
+        def keep(self):
+            return F.col("x") > self.cut
+
+    class Setup(Configuration):
+        def add_options(self, add):
+            add("cut", "1")
+
+        def new_processor(self):
+            return Own(float(self.values["cut"]))
+
+    numbers(spark, range(10)).withColumn("half", F.floor(F.col("x") / 5)).write.parquet(str(tmp_path / "in"))
+    (tmp_path / "a.ini").write_text(f"[analysis]\ncut = 5\nresults = {tmp_path}/res\n")
+    common = [str(tmp_path / "in"), "-c", str(tmp_path / "a.ini")]
+    run(Setup(), [*common, "-o", str(tmp_path / "out"), "--split-per", "half", "--quiet"], spark)
+    assert {r.cut: r.entries for r in tables.read_results(spark, str(tmp_path / "res")).collect()} == {"all": 10, "high": 4}
+    assert sorted((r.x, r.half) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(6.0, 1), (7.0, 1), (8.0, 1), (9.0, 1)]
+    done = run(Setup(), [*common, "--cut", "8", "-r", str(tmp_path / "other"), "-n", "9", "--order", "x"], spark)
+    assert {r.cut: r.entries for r in done.results.collect()} == {"all": 9}
+    (tmp_path / "bad.ini").write_text("[analysis]\nno = 1\n")
+    with pytest.raises(ValueError):
+        Setup().parse(["-c", str(tmp_path / "bad.ini")])
+    with pytest.raises(FileNotFoundError):
+        Setup().parse(["-c", str(tmp_path / "none.ini")])
+
+
+def test_emitted_rows(spark):
+    from tallyforge.plans.processor import Processor, analyse
+
+    class Own(Processor):
+        def process(self, store):
+            store.passed("c", "all")
+
+        def emit(self):
+            return F.transform(F.sequence(F.lit(1), F.col("x").cast("int")), lambda i: F.struct(i.alias("i")))
+
+    assert sorted(r.i for r in analyse(Own(), numbers(spark, [1, 2])).skim.collect()) == [1, 1, 2]
+
+
 def test_fills_of_a_stream(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     rows = [(at + datetime.timedelta(minutes=i), i / 10) for i in range(10)]
