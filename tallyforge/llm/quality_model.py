@@ -1,18 +1,20 @@
 """Text quality by Naive Bayes support vectors.
 
-Features are indicators of n-grams (1 to 3) of word shapes: letter case, digits, how the word
-ends, and whether it repeats the word before. An n-gram counts at four levels of its share in
-the text (any, 1/32, 1/8, 1/2), so that one odd token in a long clean text doesn't look like a
-page full of them. Indicators are scaled by the classes' log-count ratios, and a linear
-hinge-loss model is fitted by dual coordinate descent; a logistic curve over the margins turns
-them into scores.
-
-The model is fitted on at most ``max_labelled`` labelled rows, chosen by a hash of the id; only
-their feature ids reach the driver, and the weights (``2**BITS`` floats) go to the workers.
-
-Defined results: null and empty texts have no features and get the intercept's score. Labels
-that are null are ignored; of several labels of an id the mean counts, 1/2 as 1. Without labels,
-or with one class, the score is the smoothed share of label 1. Rows are scored one by one.
+Features are indicators of n-grams, hashed: of words (1 and 2), of bytes (3), and of word shapes (1
+to 3): letter case, digits, how the word ends, and whether it repeats the word before. An n-gram of
+shapes counts at four levels of its share in the text (any, 1/32, 1/8, 1/2), so that one odd
+token in a long clean text doesn't look like a page full of them. Indicators are scaled by the
+classes' log-count ratios, and a linear hinge-loss model is fitted by dual coordinate descent; a
+logistic curve over the margins turns them into scores.
+
+The model is fitted on at most ``max_labelled`` labelled rows with at most ``MAX_IDS`` feature ids in
+all (4 bytes each, so that bounds what reaches the driver), taken in the order of a hash of the id;
+the weights (``2**BITS`` floats) go to the workers.
+
+Defined results: null and empty texts have no features and get the intercept's score; very long texts
+are taken whole. Labels that are null are ignored; of several labels of an id the mean counts, 1/2
+as 1; of several texts of a labelled id the first by a hash of the text is learnt. Without labels, or
+with one class, the score is the smoothed share of label 1. Rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_python
+from .shared import in_python, save
 from .words import U64, chunks, give_back, hashes, mix, split
 
-BITS = 17
-MAX_LABELLED = 8000
+#: ids below 2**SHAPES are shapes', those above words' and bytes'
+SHAPES, BITS = 17, 18
+WORDS, BYTES = (1, 2), 3
+MAX_LABELLED, MAX_IDS = 8000, 1 << 24
 LEVELS = (0.0, 1 / 32, 1 / 8, 1 / 2)
 ORDERS = (1, 2, 3)
 CUTOFF = 0.7
@@ -91,10 +95,37 @@ def features(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
                 for level, least in enumerate(LEVELS):
                     ok = share >= least
                     owners.append(own[ok])
-                    ids.append((mix(gram[ok] * U64(64) + U64(size * 8 + level)) & U64((1 << BITS) - 1)).astype(np.int32))
+                    ids.append((mix(gram[ok] * U64(64) + U64(size * 8 + level)) & U64((1 << SHAPES) - 1)).astype(np.int32))
+            lexical = _lexical(data, hashes(data, start, end), room)
         owners, ids = np.concatenate(owners), np.concatenate(ids)
-        pair = np.unique(owners * (1 << BITS) + ids)
-        yield a, (pair & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pair >> BITS, np.arange(b - a + 1))
+        pair = np.unique(owners * (1 << SHAPES) + ids)
+        shape, at = (pair & ((1 << SHAPES) - 1)).astype(np.int32), np.searchsorted(pair >> SHAPES, np.arange(b - a + 1))
+        seen, out = np.zeros(1 << SHAPES, bool), []
+        for k in range(b - a):
+            # the last bytes of a text begin no n-gram of its own; the line end after it is none of its bytes
+            mine = [g[first[k] : max(first[k], first[k + 1] - n + 1)] for n, g in zip(WORDS, lexical, strict=False)]
+            mine.append(lexical[-1][offsets[k] : max(offsets[k], offsets[k + 1] - BYTES)])
+            for g in mine:
+                seen[g] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
+            out += [shape[at[k] : at[k + 1]], (found + (1 << SHAPES)).astype(np.int32)]
+        sizes = np.array([len(x) for x in out]).reshape(-1, 2).sum(axis=1)
+        yield a, np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _lexical(data: np.ndarray, words: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
+    """Ids of the n-grams that begin at each word, for each of ``WORDS``, and at each byte."""
+    out, top = [], U64((1 << SHAPES) - 1)
+    for size in WORDS:
+        gram = np.zeros(len(words), U64)
+        for i in range(size):
+            gram[: len(words) - i] = mix(gram[: len(words) - i] * U64(31) + words[i:] + U64(size))
+        out.append((gram & top).astype(np.int64))
+    gram, n = np.zeros(len(data), U64), len(data)
+    for i in range(min(BYTES, n)):
+        gram[: n - i] = gram[: n - i] * U64(257) + data[i:].astype(U64)
+    return [*out, (mix(gram) & top).astype(np.int64)]
 
 
 @dataclass
@@ -123,20 +154,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
     values = [ratio[r] for r in rows]
     values = [v / max(1e-9, float(np.sqrt(v @ v))) for v in values]
     cost = np.where(y > 0, c * len(y) / (2 * positive), c * len(y) / (2 * negative))
+    w, bias, _ = dual(rows, values, y, cost, size, epochs, seed)
+    margin = np.array([w[r] @ v + bias for r, v in zip(rows, values, strict=True)])
+    slope, shift = _logistic(margin, np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2)))
+    return Scaled((w * ratio).astype(np.float32), bias, slope, shift, (ratio * ratio).astype(np.float32))
+
+
+def dual(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, epochs: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the hinge-loss model with (w @ w + bias**2) / 2, by coordinate
+    descent: ``rows`` and ``values`` are the features of each text and what they count."""
     w, bias, alpha, rng = np.zeros(size), 0.0, np.zeros(len(y)), np.random.RandomState(seed)
+    norm = [1.0 + float(v @ v) for v in values]
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             r, v = rows[i], values[i]
             gradient = y[i] * (w[r] @ v + bias) - 1
-            new = min(max(alpha[i] - gradient / (1.0 + float(v @ v)), 0.0), cost[i])
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 w[r] += step * v
                 bias += step
                 alpha[i] = new
-    margin = np.array([w[r] @ v + bias for r, v in zip(rows, values, strict=True)])
-    slope, shift = _logistic(margin, np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2)))
-    return Scaled((w * ratio).astype(np.float32), bias, slope, shift, (ratio * ratio).astype(np.float32))
+    return w, bias, alpha
 
 
 @dataclass
@@ -171,7 +210,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("long").cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_ids: int = MAX_IDS) -> Model:
     """A model from rows of ``docs`` that ``labels`` (doc_id, quality) covers and that aren't held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -185,7 +224,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 yield pa.RecordBatch.from_arrays([*part, rows], ["doc_id", "quality", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = in_python(texts, run, "doc_id long, quality int, ids array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    known = save(in_python(texts, run, "doc_id long, quality int, ids array<int>"), "labelled")
+    sizes = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.size("ids").alias("n")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), max_ids, "right"))
+    kept = sizes.slice(0, fits)
+    if fits < sizes.num_rows:
+        last = kept.slice(fits - 1).to_pylist()[0] if fits else {"h": -(1 << 63), "doc_id": -(1 << 63)}
+        known = known.where((F.xxhash64("doc_id") < last["h"]) | ((F.xxhash64("doc_id") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
+    rows = known.toArrow().sort_by("doc_id")
     ids = rows.column("ids").combine_chunks() if rows.num_rows else []
     return fit([np.asarray(ids[i].values, np.int32) for i in range(len(ids))], rows.column("quality").to_numpy())
 

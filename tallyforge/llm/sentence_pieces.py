@@ -109,7 +109,8 @@ def frequent_words(docs: DataFrame, model: str, frequent: int = FREQUENT) -> Dat
             break
         least = r.step
     top = counts.where(F.col("step") >= least).select("word")
-    return lattice(save(top, "words").repartition("word"), table, max(len(p) for _, p, _, byte in rows if not byte))
+    # a number of its own, or the few words would be joined into one task
+    return lattice(save(top, "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), table, max(len(p) for _, p, _, byte in rows if not byte))
 
 
 class PieceEncoder(Encoder):

@@ -238,6 +238,61 @@ def test_classifier_learns(spark, sf_dir, empty):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
 
 
+def test_fit_is_the_optimum():
+    """Log-count ratios by their formula; the dual's gap closes, and a dense solver finds the same margins."""
+    rng = np.random.RandomState(5)
+    y = np.array([1] * 25 + [0] * 35)
+    rows = [np.flatnonzero(rng.rand(40) < np.where(np.arange(40) < 12, 0.5 if t else 0.2, 0.3)).astype(np.int32) for t in y]
+    sign = np.where(y == 1, 1.0, -1.0)
+    dense = np.zeros((60, 40))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    p, q = dense[y == 1].sum(0) + 1, dense[y == 0].sum(0) + 1
+    ratio = np.log((p / 27) / (q / 37))
+    x = dense * ratio
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cost = np.where(y == 1, 60 / 50, 60 / 70)
+    w, bias, alpha = quality_model.dual(rows, [x[i, r] for i, r in enumerate(rows)], sign, cost, 40, 3000, 1)
+    assert (alpha >= 0).all() and (alpha <= cost).all() and np.allclose(w, (alpha * sign) @ x) and np.isclose(bias, (alpha * sign).sum())
+    loss = cost @ np.maximum(0, 1 - sign * (x @ w + bias))
+    primal, other = (w @ w + bias**2) / 2 + loss, alpha.sum() - (w @ w + bias**2) / 2
+    assert 0 <= primal - other < 1e-4 * primal
+    both, step = np.hstack([x, np.ones((60, 1))]), np.zeros(41)
+    best = np.inf
+    for k in range(1, 40_000):
+        inside = sign * (both @ step) < 1
+        step = step - (step - both.T @ (cost * sign * inside)) / (k + 50)
+        best = min(best, step @ step / 2 + cost @ np.maximum(0, 1 - sign * (both @ step)))
+    assert abs(best - primal) < 2e-3 * primal
+    model = quality_model.fit(rows, y, epochs=300)
+    margin = x @ w + bias
+    got = model.score(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    assert np.corrcoef(np.log(got / (1 - got)), margin)[0, 1] > 0.995
+
+
+def test_features_are_lexical_too():
+    """Texts of one shape and other words differ, and so do words of other letters."""
+    texts = ["the cat sat on a mat", "the dog sat on a mat", "the cat sat on a mat", "", None, "ab"]
+    got = {}
+    for a, ids, at in quality_model.features(texts):
+        got |= {a + k: set(ids[at[k] : at[k + 1]].tolist()) for k in range(len(at) - 1)}
+    shapes = {k: {i for i in v if i < 1 << quality_model.SHAPES} for k, v in got.items()}
+    assert got[0] == got[2] != got[1] and shapes[0] == shapes[1] and got[3] == got[4] == set()
+    assert len(got[5]) == len(shapes[5]) + 1
+    long = " ".join(words_of(60_000, 3))
+    (_, ids, at), = quality_model.features([long])
+    assert len(set(ids.tolist())) == len(ids) == at[-1] > 50_000
+
+
+def test_learnt_rows_are_determined(spark):
+    texts = [(i, " ".join(words_of(60, i)) + (" ###" * 9 if i % 2 else ".")) for i in range(40)] + [(i, "other words here ### now") for i in range(0, 40, 3)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    frames = [spark.createDataFrame(t, "doc_id long, text string").repartition(n) for t, n in ((texts, 2), (texts[::-1], 5))]
+    for most in (quality_model.MAX_IDS, 3000):
+        a, b = (quality_model.train(df, labels, max_ids=most) for df in frames)
+        assert (a.weights == b.weights).all() and a.bias == b.bias and (a.weights != 0).any()
+
+
 def test_classifier_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_model.train(docs, none)
@@ -560,7 +615,7 @@ def test_top_k(spark):
     vectors = [(i, [float(x) for x in np.round(rng.randn(6) * (rng.rand(6) > 0.3), 2)]) for i in range(300)]
     vectors += [(300, None), (301, [1.0, None]), (302, [float("nan")]), (303, [float("inf")]), (304, [1.0]), (305, []), (None, [1.0]), (306, vectors[5][1]), (307, vectors[5][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"rank": F.lit(0), "score": F.lit(1), "q": F.lit(2)})
-    got = sorted(map(tuple, top_k.top_k(df, F.col("vec_id") % 50 == 0, 5, queries=3, candidates=64).collect()))
+    got = sorted(map(tuple, top_k.top_k(df, F.col("vec_id") % 50 == 0, 5, components=300, fewest=7).collect()))
     ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in sorted(i for i in ints if i % 50 == 0):
