@@ -2,8 +2,8 @@
 
 A file is a row of segments; each has its own magic bytes, header, classes and footer. Records are
 framed by a little-endian size whose top bit says that a class id follows; ids from 100 to
-200 are the stream's own, odd ones are metadata. Sections may be compressed by zlib or gzip. A footer
-says how long its segment is and where its classes and its metadata are.
+200 are the stream's own, odd ones are metadata. Sections may be compressed by zlib or gzip, or be
+blocks compressed by snappy or lz4, each with its size before it. A footer says how long its segment is and where its classes and its metadata are.
 
 Reading is a data source of Spark: one task for each segment, whose footers are walked from a file's
 end, and which is decompressed and decoded as it is read, so neither files nor segments are held
@@ -32,9 +32,11 @@ from .records import Classes, descriptor, encoded, fields, schema_of
 START_MAGIC = b"A4STREAM"
 END_MAGIC = b"KTHXBYE4"
 HEADER, FOOTER, START_COMPRESSED, END_COMPRESSED, CLASS = 100, 102, 104, 106, 108
-ZLIB, GZIP = 0, 1
+ZLIB, GZIP, SNAPPY, LZ4 = 0, 1, 3, 4
+BLOCK = 64 * 1024
 
 _TOP = 1 << 31
+_CODECS = {SNAPPY: "snappy", LZ4: "lz4_raw"}
 #: Files beyond this number aren't opened on the driver: each is one task, which walks its segments.
 WALKED = 1000
 SCHEMA = "path string, segment int, position long, class_id int, class_name string, is_metadata boolean, forward boolean, record binary, json string"
@@ -61,6 +63,60 @@ def files_of(path: str) -> list[str]:
     return sorted(root + x.path for x in system.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 
 
+def _snappy_length(raw: bytes) -> int:
+    value = shift = 0
+    for b in raw:
+        value |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            break
+    return value
+
+
+def _lz4_length(raw: bytes) -> int:
+    """How long a raw lz4 block is when unpacked, which only its sequences tell."""
+    at = length = 0
+    while at < len(raw):
+        token = raw[at]
+        at += 1
+        for part, extra in ((token >> 4, 0), (token & 15, 4)):
+            if extra:
+                at += 2
+            if part == 15:
+                while True:
+                    part += raw[at]
+                    at += 1
+                    if raw[at - 1] < 255:
+                        break
+            length += part + extra
+            at += 0 if extra else part
+            if not extra and at >= len(raw):
+                break
+    return length
+
+
+class _BlockPacker:
+    """Blocks of one codec, with the interface of zlib's compressors."""
+
+    def __init__(self, compression: int):
+        self.codec, self.held = pa.Codec(_CODECS[compression]), b""
+
+    def _packed(self, data: bytes) -> bytes:
+        raw = self.codec.compress(data, asbytes=True)
+        return _varint(len(raw)) + raw
+
+    def compress(self, data: bytes) -> bytes:
+        self.held += data
+        whole = len(self.held) // BLOCK * BLOCK
+        out = b"".join(self._packed(self.held[i : i + BLOCK]) for i in range(0, whole, BLOCK))
+        self.held = self.held[whole:]
+        return out
+
+    def flush(self) -> bytes:
+        out, self.held = self._packed(self.held) if self.held else b"", b""
+        return out
+
+
 class _Source:
     """Takes bytes from an open file, or from a compressed section of it, as they are needed."""
 
@@ -81,7 +137,24 @@ class _Source:
             raise EOFError("the stream ends within a record")
         return out
 
+    def _block(self) -> bool:
+        size = shift = 0
+        while True:
+            b = self.file.read(1)
+            if not b:
+                return False
+            size |= (b[0] & 127) << shift
+            shift += 7
+            if b[0] < 128:
+                break
+        raw = self.file.read(size)
+        length = _snappy_length(raw) if self.inner == SNAPPY else _lz4_length(raw)
+        self.held, self.at = self.held[self.at :] + pa.Codec(_CODECS[self.inner]).decompress(raw, decompressed_size=length, asbytes=True), 0
+        return True
+
     def _more(self) -> bool:
+        if self.inner in _CODECS:
+            return self._block()
         raw = b"" if self.inner.eof else self.file.read(self.STEP)
         if not raw:
             return False
@@ -91,12 +164,17 @@ class _Source:
         return True
 
     def start(self, compression: int) -> None:
+        self.held, self.at = b"", 0
+        if compression in _CODECS:
+            self.inner = compression
+            return
         if compression not in (ZLIB, GZIP):
-            raise NotImplementedError(f"compression {compression}; zlib and gzip can be read")
-        self.inner, self.held, self.at = zlib.decompressobj(15 if compression == ZLIB else 31), b"", 0
+            raise ValueError(f"compression {compression} can't be read")
+        self.inner = zlib.decompressobj(15 if compression == ZLIB else 31)
 
     def stop(self) -> None:
-        while not self.inner.eof and self._more():
+        # a block ends with its section; the other formats have a trailer to read
+        while self.inner not in _CODECS and not self.inner.eof and self._more():
             pass
         self.inner = None
 
@@ -386,7 +464,7 @@ class SegmentWriter:
     def _open(self) -> None:
         if self.pack is None and self.compression is not None:
             self._raw(self._framed(START_COMPRESSED, _number(1, self.compression)))
-            self.pack = zlib.compressobj(self.level, zlib.DEFLATED, 15 if self.compression == ZLIB else 31)
+            self.pack = _BlockPacker(self.compression) if self.compression in _CODECS else zlib.compressobj(self.level, zlib.DEFLATED, 15 if self.compression == ZLIB else 31)
 
     def _close(self) -> None:
         if self.pack is not None:

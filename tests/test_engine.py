@@ -295,14 +295,14 @@ def test_native_streams(spark, tmp_path):
     messages = []
     for block in (1, 2):
         messages += [Timestamp(seconds=block), *[Int64Value(value=block * 1000 + i) for i in range(5)]]
-    for name, compression in (("plain", None), ("zlib", streams.ZLIB), ("gzip", streams.GZIP)):
+    for name, compression in (("plain", None), ("zlib", streams.ZLIB), ("gzip", streams.GZIP), ("snappy", streams.SNAPPY), ("lz4", streams.LZ4)):
         streams.write_stream(messages, str(tmp_path / name), {"google.protobuf.Timestamp"}, compression=compression)
     (tmp_path / "both").write_bytes((tmp_path / "zlib").read_bytes() + (tmp_path / "plain").read_bytes())
-    got = streams.read_streams(spark, [str(tmp_path / n) for n in ("plain", "zlib", "gzip", "both")]).cache()
-    assert got.count() == 5 * 12
+    got = streams.read_streams(spark, [str(tmp_path / n) for n in ("plain", "zlib", "gzip", "snappy", "lz4", "both")]).cache()
+    assert got.count() == 7 * 12
     md = got.withColumn("md", F.when(F.col("is_metadata"), F.col("record")))
     events = blocks.with_metadata(md, ["path", "segment"], ["position"], "md").where("not is_metadata").collect()
-    assert len(events) == 50
+    assert len(events) == 70
     for r in events:
         assert Int64Value.FromString(bytes(r.record)).value // 1000 == Timestamp.FromString(bytes(r.current)).seconds
     (tmp_path / "bad").write_bytes(b"no stream")
@@ -337,6 +337,19 @@ def test_stream_offsets(spark, tmp_path):
         streams.read_streams(spark, str(tmp_path / "torn")).count()
 
 
+@pytest.mark.parametrize("compression", [streams.ZLIB, streams.SNAPPY, streams.LZ4])
+def test_long_compressed_sections(tmp_path, compression):
+    from google.protobuf.wrappers_pb2 import BytesValue
+
+    rng = random.Random(2)
+    messages = [BytesValue(value=bytes(rng.randrange(rng.choice([2, 256])) for _ in range(rng.randrange(3000))) * rng.randrange(1, 60)) for _ in range(40)]
+    path = str(tmp_path / "long")
+    streams.write_stream(messages, path, compression=compression)
+    with open(path, "rb") as file:
+        got = list(streams.records(streams._Source(file), path, 0))
+    assert [BytesValue.FromString(r["record"]).value for r in got] == [m.value for m in messages]
+
+
 def test_schemas_of_records():
     from pyspark.sql import types as T
     from tallyforge.sources import records
@@ -442,3 +455,17 @@ def test_the_library_stands_alone():
         for name in names:
             if name.endswith(".py"):
                 assert not re.search(r"import.*\bllm\b", open(os.path.join(folder, name)).read()), name
+
+
+def test_without_the_corpus_operators(tmp_path):
+    """A copy without them imports, and has all other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(repo, "tallyforge"), tmp_path / "tallyforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(repo, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; from tallyforge import catalog; assert e.queries().keys() == catalog.QUERIES.keys() == e.oracle_sql().keys()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
