@@ -52,7 +52,9 @@ def suffix_order(words: np.ndarray, owner: np.ndarray, last: np.ndarray) -> tupl
     order, begins = _renumber(owner, words)
     rank = np.empty(n, np.int64)
     rank[order] = begins
-    levels, array, step = [rank], order, 1
+    # all levels are kept, so in half the bytes where that does
+    kind = np.int32 if n < 1 << 31 else np.int64
+    levels, array, step = [rank.astype(kind)], order, 1
     while n:
         sizes = np.bincount(rank, minlength=n)
         open_at = np.flatnonzero(sizes[rank[array]] > 1)
@@ -66,7 +68,7 @@ def suffix_order(words: np.ndarray, owner: np.ndarray, last: np.ndarray) -> tupl
         array[open_at] = who[sub]
         rank = rank.copy()
         rank[who[sub]] = open_at[begin]
-        levels.append(rank)
+        levels.append(rank.astype(kind))
         step *= 2
     return array, levels
 

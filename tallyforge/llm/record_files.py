@@ -12,7 +12,7 @@ right by 15 bits and adding 0xA282EAD8, so that a checksum of bytes that hold ch
 sound. Beside each ``part-N.rec`` stands ``part-N.idx``: a uint64 for each record, where its
 frame begins, and the file's length at last; a shuffled reader picks records from it.
 
-Files are in order of doc_id (nulls first, equal ids by text): rows are range-partitioned and
+Files are in order of doc_id (nulls first, equal ids by a hash of the text, then the text): rows are range-partitioned and
 sorted, each task writes one file under a name of its own attempt in the shared folder, and the
 manifest, a Parquet table written last, names the files of the tasks that counted. Attempts that
 were lost or repeated leave files that no manifest names.

@@ -14,7 +14,8 @@ ids (at most ``FREQUENT`` words of at most ``LONGEST`` characters, so a broadcas
 size), fold each other word by itself once and remember it for a while.
 
 Defined results: null and empty texts have no ids. U+2581 in a text stands for a blank, and is
-decoded as one.
+decoded as one. Rows are encoded one by one: repeated ones each, null ids as they are, texts of any
+length whole.
 """
 
 from __future__ import annotations
