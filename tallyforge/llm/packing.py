@@ -2,15 +2,16 @@
 
 Bins depend on nothing but how many pieces there are of each length, so packing works on that
 table of at most ``size`` rows: the longest length left opens a bin, a bitset subset-sum over the
-lengths left finds the fullest combination that fits beside it, and that combination is taken
-out as often as its lengths last. Each combination uses some length up to less than its own
-share, so there are few of them.
+lengths left, longest first, finds the fullest combination that fits beside it, and that combination
+is taken out as often as its lengths last. Each combination uses some length up to less than its own
+share, so there are few of them. A combination that leaves less than one id in ``RELAXED`` is full
+enough: looking further would use up the short lengths that the last bins need.
 
 Each task packs its own part of the documents, a window of about ``WINDOW`` ids at a time. Bins that
-are full go out, with all their pieces; the pieces of the others stay for the next window, and the
+are full (to one id in ``RELAXED``) go out, with all their pieces; the pieces of the others stay for the next window, and the
 last window's bins all go out. So nothing is shuffled, broadcast or written in between, a task
-holds a window whatever the size of its part. A part ends with a few bins that aren't full, about
-5 to 10 of them, where packing all documents at once would end with as many in all. A task that runs again gives the
+holds a window whatever the size of its part. A part ends with a few bins that aren't full, one or
+two of them, where packing all documents at once would end with as many in all. A task that runs again gives the
 same rows, and its bins are numbered within its part.
 
 A document of more than ``size`` ids is cut into pieces of ``size``, the remainder first.
@@ -38,12 +39,15 @@ END_ID = 2
 SIZE = 1024
 #: ids that a task packs at a time
 WINDOW = 1 << 23
+#: a bin is full if it leaves no more than its size over this
+RELAXED = 128
 #: ids of a batch that a task gives out
 BATCH = 1 << 20
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length, of ``counts`` at hand, fill ``room`` best; longer ones first."""
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """How many of each length, of ``counts`` at hand, fill ``room`` best, or to ``slack``; longer ones
+    first."""
     lengths = sorted((n for n in counts if counts[n] and n <= room), reverse=True)
     reach, steps = 1, []
     keep = (1 << (room + 1)) - 1
@@ -55,7 +59,7 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
             reach |= (reach << (n * some)) & keep
             left -= some
             times *= 2
-        if reach >> room & 1:
+        if reach >> max(1, room - slack):
             break
     total, out = reach.bit_length() - 1, {}
     for n, some, before in reversed(steps):
@@ -74,7 +78,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     while counts:
         top = max(counts)
         counts[top] -= 1
-        bin_ = fullest(counts, size - top)
+        bin_ = fullest(counts, size - top, size // RELAXED)
         counts[top] += 1
         bin_[top] = bin_.get(top, 0) + 1
         times = min(counts[n] // m for n, m in bin_.items())
@@ -142,7 +146,7 @@ class _Window:
         if not len(length):
             return
         bins, offsets = placed(length, self.size)
-        full = (np.bincount(bins, weights=length) == self.size)[bins]
+        full = (np.bincount(bins, weights=length) >= self.size - self.size // RELAXED)[bins]
         if last or 2 * int(length[~full].sum()) > self.ids:
             full[:] = True
         out = [c[full] for c in self.columns]

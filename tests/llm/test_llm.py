@@ -394,6 +394,24 @@ def test_plan_holds_every_piece():
     assert len(bins) <= 1.01 * sum(n * c for n, c in counts.items()) / 100 + 1
 
 
+def brute_fill(lengths, room):
+    sums = {0}
+    for n in lengths:
+        sums |= {s + n for s in sums if s + n <= room}
+    return max(sums)
+
+
+def test_fullest_combination():
+    rng = random.Random(9)
+    for _ in range(300):
+        counts = Counter(rng.randrange(1, 40) for _ in range(rng.randrange(0, 12)))
+        room, slack = rng.randrange(0, 90), rng.choice([0, 0, 3])
+        got = packing.fullest(dict(counts), room, slack)
+        assert all(0 < m <= counts[n] for n, m in got.items())
+        filled, best = sum(n * m for n, m in got.items()), brute_fill(list(counts.elements()), room)
+        assert filled <= best and (filled == best or filled >= room - slack > 0)
+
+
 def test_sentence_pieces(spark, docs, empty):
     import sentencepiece
 
