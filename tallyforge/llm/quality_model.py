@@ -33,7 +33,7 @@ from .words import U64, chunks, give_back, hashes, mix, split
 #: ids below 2**SHAPES are shapes', those above words' and bytes'
 SHAPES, BITS = 17, 18
 WORDS, BYTES = (1, 2), 3
-MAX_LABELLED, MAX_IDS = 8000, 1 << 24
+MAX_LABELLED, MAX_IDS = 8000, 1 << 22
 LEVELS = (0.0, 1 / 32, 1 / 8, 1 / 2)
 ORDERS = (1, 2, 3)
 CUTOFF = 0.7
@@ -148,11 +148,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int
     if not positive or not negative:
         share = (positive + 1) / (len(y) + 2)
         return Model(np.zeros(size, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    p, q = (np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == s] or [np.zeros(0, np.int32)]), minlength=size) + 1.0 for s in (1, -1))
+    p, q = np.ones(size), np.ones(size)
+    for r, t in zip(rows, y, strict=True):
+        (p if t > 0 else q)[r] += 1
     ratio = np.log((p / (positive + 2)) / (q / (negative + 2)))
     # lengths differ between texts: each row is scaled to unit norm, so a long one weighs no more
-    values = [ratio[r] for r in rows]
-    values = [v / max(1e-9, float(np.sqrt(v @ v))) for v in values]
+    ratio32 = ratio.astype(np.float32)
+    values = [v / np.float32(max(1e-9, float(np.sqrt(v @ v)))) for v in (ratio32[r] for r in rows)]
     cost = np.where(y > 0, c * len(y) / (2 * positive), c * len(y) / (2 * negative))
     w, bias, _ = dual(rows, values, y, cost, size, epochs, seed)
     margin = np.array([w[r] @ v + bias for r, v in zip(rows, values, strict=True)])
@@ -234,7 +236,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         known = known.where((F.xxhash64("doc_id") < last["h"]) | ((F.xxhash64("doc_id") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
     rows = known.toArrow().sort_by("doc_id")
     ids = rows.column("ids").combine_chunks() if rows.num_rows else []
-    return fit([np.asarray(ids[i].values, np.int32) for i in range(len(ids))], rows.column("quality").to_numpy())
+    model = fit([np.asarray(ids[i].values, np.int32) for i in range(len(ids))], rows.column("quality").to_numpy())
+    del rows, ids
+    give_back()
+    return model
 
 
 def _scorer(model: Model, text: int, fields: list[str]):

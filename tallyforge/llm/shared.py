@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch of rows on its way to a worker and rows of one that is read from Parquet: with
 #: Spark's own 10,000 and 4096 rows, both grow with the length of the texts.
-BATCH_BYTES, READ_ROWS = 4 << 20, 1024
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
 #: Bytes of a Parquet row group of a written table, all of which a writer holds.
-ROW_GROUP = 16 << 20
+ROW_GROUP = 8 << 20
 _OWN: dict[str, str] = {}
 
 
