@@ -67,11 +67,14 @@ def manual(events: DataFrame, segment: Sequence[str], order: Sequence[str], mark
 
 def with_metadata(stream: DataFrame, segment: Sequence[str], order: Sequence[str], metadata: str, forward: Column | None = None) -> DataFrame:
     """``stream`` with ``current``: the metadata that holds for each row. A metadata row holds for
-    the rows after it, up to the next one; backward segments (``forward`` false) the other way."""
-    w = Window.partitionBy(*segment).orderBy(*order)
-    after = F.last(metadata, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.first(metadata, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return stream.withColumn("current", after if forward is None else F.when(forward, after).otherwise(before))
+    the rows after it, up to the next one; backward segments (``forward`` false) the other way.
+    The other way rows are sorted backward too: frames that end with the segment are filled anew for each row."""
+
+    def last(order: Sequence[Column]) -> Column:
+        return F.last(metadata, ignorenulls=True).over(Window.partitionBy(*segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+    after = last([F.col(c) for c in order])
+    return stream.withColumn("current", after if forward is None else F.when(forward, after).otherwise(last([F.col(c).desc() for c in order])))
 
 
 def changes(events: DataFrame, segment: Sequence[str], order: Sequence[str], block: str = "block") -> DataFrame:

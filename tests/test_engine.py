@@ -154,6 +154,16 @@ def test_events_find_their_metadata(spark, order):
     assert len(got) == 12 and all(r.event // 1000 == r.current for r in got)
 
 
+def test_metadata_of_long_backward_segments(spark):
+    """No frame ends with its segment: such a one is filled anew for each row."""
+    rows = spark.range(3000).select("id", (F.col("id") % 2).alias("segment"), F.when(F.col("id") % 700 < 2, F.col("id")).alias("md"))
+    got = blocks.with_metadata(rows, ["segment"], ["id"], "md", F.col("segment") == 0)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    for r in got.collect():
+        at = r.id // 700 * 700 if r.segment == 0 else -(-(r.id - 1) // 700) * 700 + 1
+        assert r.current == (at if at < 3000 else None)
+
+
 def merge_input(spark):
     rows = [(0, i, i % 5, [i], i >= 5, 1.5, "t", [i, i], i > 2) for i in range(10)]
     return spark.createDataFrame(rows, "segment int, pos int, run int, period array<int>, simulation boolean, efficiency double, tags string, comments array<int>, error boolean")
