@@ -66,7 +66,7 @@ MIN_OWNERS, MIN_REPOSITORIES = 3, 10
 #: values with fewer different characters, or with one of these words, are placeholders
 MIN_CHARACTERS = 6
 PLACEHOLDERS = ["example", "changeme", "placeholder", "dummy", "sample", "xxxx", "redacted", "your_", "your-", "123456"]
-#: characters of a value that its look is judged by
+#: characters of a value that the SQL judges its look by; ``looks_live`` judges by all of them
 LOOK = 1024
 _SPAN = "array<struct<start:int,kind:int,end:int,hash:bigint,looks:boolean>>"
 
@@ -78,9 +78,10 @@ def _key_body(block: Column) -> Column:
 
 
 def looks_live(value: Column) -> Column:
-    shown = F.substring(value, 1, LOOK)
-    different = F.size(F.filter(F.array_distinct(F.split(shown, "")), lambda c: c != ""))
-    return (different >= MIN_CHARACTERS) & ~contains_any(F.lower(shown), PLACEHOLDERS)
+    """By the whole of a value, however long. Something is left of one with enough different characters
+    when that which it then begins with is taken out of it everywhere, once less than their number."""
+    rest = F.aggregate(F.sequence(F.lit(2), F.lit(MIN_CHARACTERS)), value, lambda left, _: F.replace(left, F.substring(left, 1, 1), F.lit("")))
+    return (rest != "") & ~let(F.lower(value), lambda lower: contains_any(lower, PLACEHOLDERS))
 
 
 def _spans(text: Column, kind: int, regex: str, gate: Column, group: int, test, value=lambda part: part) -> Column:

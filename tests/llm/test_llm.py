@@ -530,6 +530,18 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.secrets(empty).collect() == []
 
 
+def test_long_secrets_are_judged_whole(spark):
+    """What tells a placeholder, or a secret, may stand anywhere in a value."""
+    part = "Qw3rTy7Up" * 200
+    values = [f"{part}example", f"{'ab' * 600}cdef", f"{'ab' * 600}cde", f"{'é' * 1500}𝄞abcde", part, "abcdef", "aaabbbcccddd", "CHANGEme77", ""]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    got = {r.i: r.live for r in df.select("i", secret_scan.looks_live(F.col("v")).alias("live")).collect()}
+    assert [got[i] for i in range(len(values))] == [False, True, False, True, True, True, False, False, False]
+    rows = [(1, f"xoxb-{part}-sample", "en", "s1", None), (2, f"xoxb-{part}-1", "en", "s1", None)]
+    found = {r.doc_id: (r.spans, r.live) for r in secret_scan.digest(secret_scan.secrets(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert found == {1: ("", ""), 2: (f"chat_token:0:{len(rows[1][1])}",) * 2}
+
+
 def key_block(body, kind="RSA ", end=True):
     return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n" + f"-----END {kind}PRIVATE KEY-----" * end
 
