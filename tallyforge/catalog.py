@@ -902,16 +902,13 @@ _RECORDS = f"{_BLOCK}, h AS (SELECT segment, block, min(o_orderkey) AS first, an
 
 def _as_records(spark, sf_dir) -> str:
     """Orders and their blocks as streams: a file a segment, each block's metadata before its orders."""
-    rows = _blocks(spark, sf_dir)
+    rows = B.changes(_blocks(spark, sf_dir), ["segment"], ["o_orderkey"])
+    about = F.struct(F.col("block").alias("number"), F.col("o_orderstatus").alias("status"), (F.col("block") % 2 == 0).alias("even"))
     order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.array("run", "lb").alias("at"))
-    events = rows.select("segment", "o_orderkey", F.lit(1).alias("rank"), order.alias("Order"), F.lit(None).alias("Block"))
-    heads = rows.groupBy("segment", "block").agg(F.min("o_orderkey").alias("o_orderkey"), F.min("o_orderstatus").alias("status"))
-    about = F.struct(F.col("block").alias("number"), "status", (F.col("block") % 2 == 0).alias("even"))
-    heads = heads.select("segment", "o_orderkey", F.lit(0).alias("rank"), F.lit(None).alias("Order"), about.alias("Block"))
-    kinds = {"Order": events.schema["Order"].dataType, "Block": heads.schema["Block"].dataType}
-    both = [df.withColumns({n: F.col(n).cast(k) for n, k in kinds.items()}) for df in (events, heads)]
+    # a row's records are written in the order of its columns
+    rows = rows.select("segment", "o_orderkey", F.when(F.col("new_metadata"), about).alias("Block"), order.alias("Order"))
     path = new_path(spark, "records")
-    streams.write_streams(both[0].unionByName(both[1]), path, "segment", ["o_orderkey", "rank"], ["Block"])
+    streams.write_streams(rows, path, "segment", ["o_orderkey"], ["Block"])
     return path
 
 

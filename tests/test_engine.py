@@ -1,7 +1,9 @@
 """Behaviours of the engine's parts."""
 
 import datetime
+import io
 import math
+import os
 import random
 
 import pytest
@@ -360,6 +362,54 @@ def test_long_compressed_sections(tmp_path, compression):
     assert [BytesValue.FromString(r["record"]).value for r in got] == [m.value for m in messages]
 
 
+def test_short_sections_are_not_read_again(tmp_path):
+    """What is read of a file grows with it, however short its sections, and a footer's size needs no offsets."""
+    from google.protobuf.timestamp_pb2 import Timestamp
+    from google.protobuf.wrappers_pb2 import Int64Value
+
+    class Counted(io.FileIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            Counted.taken += len(out)
+            return out
+
+    path = str(tmp_path / "short")
+    streams.write_stream([m for i in range(2000) for m in (Timestamp(seconds=i), Int64Value(value=i))], path, {"google.protobuf.Timestamp"})
+    with Counted(path) as file:
+        got = list(streams.records(streams._Source(file), path, 0, internal=True, json=False))
+        assert len(got) == 1 + 2 + 4 * 2000 + 1
+        assert Counted.taken < 10 * os.path.getsize(path)
+
+
+def test_records_as_json_and_rows():
+    """As protobuf and pyarrow give them."""
+    import pyarrow as pa
+    from google.protobuf import json_format
+    from pyspark.sql import types as T
+    from tallyforge.sources import records
+
+    inner = T.StructType().add("x", T.DoubleType()).add("t", T.ArrayType(T.StringType())).add("raw", T.BinaryType()).add("f", T.BooleanType())
+    schema = T.StructType().add("k", T.LongType()).add("i", T.IntegerType()).add("o", inner).add("l", T.ArrayType(inner)).add("n", T.ArrayType(T.LongType()))
+    one = {"x": float("nan"), "t": ["é😀\"\\\n", ""], "raw": b"\x00\xff", "f": False}
+    rows = [
+        {"k": -(2**63), "i": 0, "o": one, "l": [one, {"x": -0.0, "t": [], "raw": b"", "f": True}], "n": [1, 2**60]},
+        {"k": None, "i": None, "o": None, "l": None, "n": None}, None,
+        {"k": 1, "i": -7, "o": {"x": 1e300, "t": None, "raw": None, "f": None}, "l": [], "n": []},
+    ]
+    kind = pa.struct([("x", pa.float64()), ("t", pa.list_(pa.string())), ("raw", pa.binary()), ("f", pa.bool_())])
+    column = pa.array(rows, pa.struct([("k", pa.int64()), ("i", pa.int32()), ("o", kind), ("l", pa.list_(kind)), ("n", pa.list_(pa.int64()))]))
+    for part in (column, column.slice(1), column.slice(2, 0)):
+        assert repr(records.rows_of(part)) == repr(part.to_pylist())
+    classes = records.Classes()
+    classes.add(records.descriptor("Event", schema))
+    classes.names[202] = "Event"
+    for row in filter(None, rows):
+        raw = records.encoded(classes.of("Event")(), row)
+        assert classes.json(202, raw) == json_format.MessageToJson(classes.of("Event").FromString(raw), preserving_proto_field_name=True, indent=None)
+
+
 def test_schemas_of_records():
     from pyspark.sql import types as T
     from tallyforge.sources import records
